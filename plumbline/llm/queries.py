@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from plumbline.llm.ann_mih import op1_nearest_multi_index
+from plumbline.llm.bpe_lexicon import op7_bpe_lexicon
 from plumbline.llm.ngram_join import op4_ngram_jaccard_join
+from plumbline.llm.sharding_kk import op6_sharding_karmarkar_karp
+from plumbline.llm.warc_io import OP8_SQL, op8_warc_round_trip
 
 QUERIES = {
+    "op1_nearest_multi_index": op1_nearest_multi_index,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_sharding_karmarkar_karp": op6_sharding_karmarkar_karp,
+    "op7_bpe_lexicon": op7_bpe_lexicon,
+    "op8_warc_round_trip": op8_warc_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_round_trip": OP8_SQL,
+}
