@@ -289,8 +289,9 @@ def jaccard_links(
         "pair.high",
     )
     wanted = near.select(F.col("sample.rid").alias("rid"), F.col("sample.text_hash").alias("text_hash")).distinct()
+    # The wanted keys grow with the documents, so they are shuffled at every size rather than broadcast at small ones.
     hashed = (
-        source.join(wanted, ["rid", "text_hash"], "left_semi")
+        source.join(wanted.hint("merge"), ["rid", "text_hash"], "left_semi")
         .select("rid", "text_hash", word_hashes(F.col("text")).alias("h"))
         .dropDuplicates(["rid", "text_hash"])
     )
