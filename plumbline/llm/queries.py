@@ -5,15 +5,19 @@ from __future__ import annotations
 from plumbline.llm.ann_mih import op1_nearest_multi_index
 from plumbline.llm.bpe_lexicon import op7_bpe_lexicon
 from plumbline.llm.ngram_join import op4_ngram_jaccard_join
+from plumbline.llm.quality_fm import op3_quality_factorisation_machine
 from plumbline.llm.sharding_kk import op6_sharding_karmarkar_karp
+from plumbline.llm.toxicity_gbt import op10_toxicity_boosted_trees
 from plumbline.llm.warc_io import OP8_SQL, op8_warc_round_trip
 
 QUERIES = {
     "op1_nearest_multi_index": op1_nearest_multi_index,
+    "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_sharding_karmarkar_karp": op6_sharding_karmarkar_karp,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op10_toxicity_boosted_trees": op10_toxicity_boosted_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
