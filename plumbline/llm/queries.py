@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from plumbline.llm.ann_mih import op1_nearest_multi_index
 from plumbline.llm.bpe_lexicon import op7_bpe_lexicon
+from plumbline.llm.decontam import op9_benchmark_spaced_seeds
+from plumbline.llm.line_dedup import OP5_SQL, op5_line_dedup
 from plumbline.llm.ngram_join import op4_ngram_jaccard_join
 from plumbline.llm.quality_fm import op3_quality_factorisation_machine
 from plumbline.llm.sharding_kk import op6_sharding_karmarkar_karp
@@ -14,12 +16,15 @@ QUERIES = {
     "op1_nearest_multi_index": op1_nearest_multi_index,
     "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding_karmarkar_karp": op6_sharding_karmarkar_karp,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_benchmark_spaced_seeds": op9_benchmark_spaced_seeds,
     "op10_toxicity_boosted_trees": op10_toxicity_boosted_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
     "op8_warc_round_trip": OP8_SQL,
 }
