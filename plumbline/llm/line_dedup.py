@@ -1,109 +1,171 @@
 """Substring deduplication by line hashing.
 
-Units are the lines of a text, normalised (lower case, runs of white space as one blank) and hashed. Digests are grouped
-globally; the earliest occurrence, ranked by doc_id and then by place, is kept and all others are removed. Removed units
-keep their offsets in the original text, so a cleaned text can be rebuilt, or the removal undone, at any time.
+Units are the lines of a text, cut further where their own words say so: before a word whose hash (with the next word's)
+is least among its neighbours. Such cuts depend on a few words only, so a passage set in the middle of a longer line has
+the same units inside as everywhere else. Units are normalised (lower case, white space between words as one blank) and
+hashed, digests are grouped globally, the earliest occurrence, ranked by doc_id and then by place, is kept and all others
+are removed where they make up a passage of ``MIN_WORDS`` words in a row. Removed passages keep their offsets in the
+original text, so a cleaned text can be rebuilt, or the removal undone, at any time.
 """
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.storage import materialize, table
 
-#: Words that a line has at least to count as a passage; shorter lines (headings, licences) repeat by themselves.
-MIN_WORDS = 20
-UNITS = "doc_id long, unit int, start long, end long, digest binary"
+#: Words in a row that a repeated passage has at least; shorter ones (headings, licence lines) repeat by themselves.
+MIN_WORDS = 25
+#: A line is cut before a word whose hash is least among so many words on either side.
+REACH = 3
+CHUNK_CHARS = 1_000_000
+UNITS = "doc_id long, unit int, start long, end long, words int, again boolean, digest long"
 NO_ID = 2**63 - 1
 
 
-def _units(batches, min_words: int):
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _range_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of values[first:last] for each pair, by prefix sums of a polynomial; equal runs hash alike anywhere."""
+    back = pow(base, -1, 2**64)
+    n = len(values)
+
+    def powers(b: int) -> np.ndarray:
+        out = np.full(n + 1, b, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base)[:n], dtype=np.uint64)])
+    return _mix((sums[last] - sums[first]) * powers(back)[first] + (last - first).astype(np.uint64))
+
+
+def _lower(text: str) -> str:
+    """Lower case, character by character where the whole would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def cut_units(texts: list[str], reach: int = REACH):
+    """(text, start, end, words, digest) arrays of all units of all texts, in order."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    chars = np.frombuffer(_lower("\n".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # White space as str.split() has it.
+    blank = np.isin(chars, np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32))
+    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    with np.errstate(over="ignore"):
+        words = _range_hashes(_mix(chars.astype(np.uint64) + np.uint64(1)), start, end, 0x9E3779B97F4A7C15)
+        line = np.searchsorted(np.flatnonzero(chars == 10), start)
+        pair = np.append(np.where(line[1:] == line[:-1], words[1:], 0), 0).astype(np.uint64)
+        rank = _mix(words * np.uint64(3) + pair)
+        cut = np.ones(len(words), bool)
+        for k in range(1, min(reach, len(words) - 1) + 1):
+            near = line[k:] == line[:-k]
+            cut[k:] &= ~near | (rank[k:] < rank[:-k])
+            cut[:-k] &= ~near | (rank[:-k] <= rank[k:])
+        cut |= np.concatenate([[True], line[1:] != line[:-1]])
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(words))
+        digest = _range_hashes(words, first, last, 0xD6E8FEB86659FD93).view(np.int64)
+    owner = np.searchsorted(begin, start[first], "right") - 1
+    return owner, start[first] - begin[owner], end[last - 1] - begin[owner], last - first, digest
+
+
+def _units(batches, reach: int):
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), batch.column(1)
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for row, key in enumerate(keys):
-            text = texts[row].as_py()
-            if not text:
-                continue
-            start = 0
-            for unit, line in enumerate(text.split("\n")):
-                parts = line.lower().split()
-                if len(parts) >= min_words:
-                    digest = hashlib.md5(" ".join(parts).encode(), usedforsecurity=False).digest()
-                    for column, value in zip(out, (key, unit, start, start + len(line), digest), strict=True):
-                        column.append(value)
-                start += len(line) + 1
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "unit", "start", "end", "digest"]
-        )
-
-
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: (doc_id, unit, start, end, digest, kept_doc_id, kept_unit).
-
-    unit counts a text's lines from 0, start and end are character offsets in the original text, digest is the MD5 of
-    the normalised line in hexadecimal. The first occurrence by (doc_id, unit) is kept, rows with a null doc_id rank
-    last. A line that repeats within one text is removed after its first occurrence there. Rows that repeat a doc_id
-    and a line at the same place are one occurrence. Null, empty and short-lined texts lose nothing.
+        keys, column = batch.column(0), batch.column(1)
+        first = 0
+        while first < batch.num_rows:
+            texts, held = [], 0
+            while first + len(texts) < batch.num_rows and (held < CHUNK_CHARS or not texts):
+                texts.append(column[first + len(texts)].as_py() or "")
+                held += len(texts[-1]) + 1
+            owner, start, end, words, digest = cut_units(texts, reach)
+            unit = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            order = np.lexsort((unit, digest, owner))
+            again = np.zeros(len(owner), bool)
+            again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.slice(first, len(texts)).take(pa.array(owner)),
+                    pa.array(unit.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(end),
+                    pa.array(words.astype(np.int32)),
+                    pa.array(again),
+                    pa.array(digest),
+                ],
+                names=["doc_id", "unit", "start", "end", "words", "again", "digest"],
+            )
+            first += len(texts)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+    """One row per removed passage: (doc_id, start, end, words, units, kept_doc_id).
+
+    start and end are character offsets in the original text; a passage is a run of adjacent units, each of which occurs
+    earlier (in a smaller doc_id, or before in the same text), of at least ``min_words`` words together. kept_doc_id is
+    the least doc_id that keeps one of its units. Rows with a null doc_id rank last, and count as one text; rows that
+    repeat a doc_id are one occurrence. Null, empty and blank texts lose nothing. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = rows.mapInArrow(lambda batches: _units(batches, min_words), UNITS)
-    units = materialize(units, "line-units").withColumn("ranked", F.coalesce("doc_id", F.lit(NO_ID)))
-    # Minima combine before the shuffle, so a line that a third of all rows share costs one row a task.
-    first = (
-        units.groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min(F.struct("ranked", "unit")).alias("kept"))
-        .where("n > 1")
-        .select("digest", "kept")
+    units = materialize(rows.mapInArrow(lambda batches: _units(batches, reach), UNITS), "units")
+    units = units.withColumn("ranked", F.coalesce("doc_id", F.lit(NO_ID)))
+    # Minima combine before the shuffle, so a unit that a third of all rows share costs one row a task.
+    first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min("ranked").alias("kept")).where("n > 1")
+    # The repeated digests grow with the documents, so they are shuffled at every size.
+    later = (
+        units.join(first.select("digest", "kept").hint("merge"), "digest")
+        .where("again or ranked != kept")
+        .groupBy("ranked", "unit", "start", "end", "words")
+        .agg(F.min("kept").alias("kept"))
     )
-    later = (F.col("ranked") != F.col("kept.ranked")) | (F.col("unit") != F.col("kept.unit"))
-    return units.join(first, "digest").where(later).select(
-        "doc_id",
-        "unit",
-        "start",
-        "end",
-        F.lower(F.hex("digest")).alias("digest"),
-        F.nullif(F.col("kept.ranked"), F.lit(NO_ID)).alias("kept_doc_id"),
-        F.col("kept.unit").alias("kept_unit"),
+    along = Window.partitionBy("ranked").orderBy("unit", "start")
+    runs = later.withColumn("new", (F.col("unit") - F.lag("unit", 1, -2).over(along) > 1).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        runs.groupBy("ranked", "run")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("words").alias("words"),
+            F.count("*").alias("units"),
+            F.min("kept").alias("kept"),
+        )
+        .where(F.col("words") >= min_words)
+        .select(
+            F.nullif(F.col("ranked"), F.lit(NO_ID)).alias("doc_id"),
+            "start",
+            "end",
+            "words",
+            "units",
+            F.nullif(F.col("kept"), F.lit(NO_ID)).alias("kept_doc_id"),
+        )
     )
 
 
-def remove_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines cut out of their texts, and all offsets as ``removed_spans``."""
-    spans = removed.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("removed_spans")
-    )
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("removed_spans.unit"), i))
+def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs`` with the passages cut out of their texts, and their original offsets as ``removed_spans``."""
+    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("removed_spans.end"))
+    starts = F.concat(F.col("removed_spans.start"), F.array(F.length("text").cast("long")))
+    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int")))
     return docs.join(spans, "doc_id", "left").withColumn(
-        "text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+        "text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
     )
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All repeated lines of 20 words or more in ``documents``."""
-    return repeated_units(table(spark, sf_dir, "documents"))
-
-
-OP5_SQL = """
-WITH lines AS (
-  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''
-), units AS (
-  SELECT doc_id, parts, unnest(range(len(parts))) AS unit FROM lines
-), cut AS (
-  SELECT doc_id, unit::INTEGER AS unit, parts[unit + 1] AS line,
-    coalesce(list_sum(list_transform(parts[1:unit], lambda x: length(x) + 1)), 0)::BIGINT AS start FROM units
-), flat AS (
-  SELECT doc_id, unit, start, start + length(line) AS "end", trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS plain FROM cut
-), kept AS (
-  SELECT *, md5(plain) AS digest, first_value({'d': doc_id, 'u': unit}) OVER (PARTITION BY plain ORDER BY doc_id, unit) AS k
-  FROM flat WHERE len(string_split(plain, ' ')) >= 20
-)
-SELECT doc_id, unit, start, "end", digest, k.d AS kept_doc_id, k.u AS kept_unit FROM kept
-WHERE doc_id <> k.d OR unit <> k.u
-"""
+    """All repeated passages of ``documents``."""
+    return repeated_passages(table(spark, sf_dir, "documents"))

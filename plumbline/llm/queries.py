@@ -5,7 +5,7 @@ from __future__ import annotations
 from plumbline.llm.ann_mih import op1_nearest_multi_index
 from plumbline.llm.bpe_lexicon import op7_bpe_lexicon
 from plumbline.llm.decontam import op9_benchmark_spaced_seeds
-from plumbline.llm.line_dedup import OP5_SQL, op5_line_dedup
+from plumbline.llm.line_dedup import op5_line_dedup
 from plumbline.llm.ngram_join import op4_ngram_jaccard_join
 from plumbline.llm.quality_fm import op3_quality_factorisation_machine
 from plumbline.llm.sharding_kk import op6_sharding_karmarkar_karp
@@ -25,6 +25,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_line_dedup": OP5_SQL,
     "op8_warc_round_trip": OP8_SQL,
 }
