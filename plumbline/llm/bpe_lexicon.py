@@ -24,9 +24,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.storage import table
+from plumbline.storage import materialize, table
 
-#: Frequent words that the lexicon holds, and the times that a word must occur to be one.
+#: Frequent words that the lexicon holds at most, and the times that a word must occur to be one.
 LEXICON_WORDS = 50_000
 MIN_COUNT = 2
 LONGEST_WORD = 64
@@ -63,6 +63,7 @@ class Vocabulary:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
         self.rank = {(self.id_of[spell(a)], self.id_of[spell(b)]): i for i, (a, b) in enumerate(pairs)}
         self.merged = {(a, b): self.id_of[self._bytes(a) + self._bytes(b)] for a, b in self.rank}
+        self.by_rank = list(self.merged.values())
         self.first = [self.id_of[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
 
@@ -79,24 +80,20 @@ class Vocabulary:
         return np.frombuffer(b"".join(parts), np.uint8), ends
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: the adjacent pair of least rank is merged, leftmost first, until none is left."""
+        """The ids of one word: the leftmost adjacent pair of least rank is merged until none has a rank."""
         ids = [self.first[b] for b in word]
         if len(ids) > 256:
             return self._merge_long(ids)
-        rank, none = self.rank, len(self.rank)
-        while len(ids) > 1:
-            best = min(zip(ids, ids[1:], strict=False), key=lambda p: rank.get(p, none))
-            if best not in rank:
-                break
-            new, out, i, last = self.merged[best], [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == best[0] and ids[i + 1] == best[1]:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.by_rank[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -185,7 +182,7 @@ class Lexicon:
             parts = json.loads(file.read(size))
         for name, (kind, offset, length) in parts.items():
             value = np.memmap(path, kind, "r", 8 + size + offset, (length,)) if length else np.zeros(0, kind)
-            setattr(self, name, value)
+            setattr(self, name, np.asarray(value))  # a plain view of the map
 
     @staticmethod
     def save(arrays: dict[str, np.ndarray], path: str) -> None:
@@ -317,9 +314,18 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, min_count: int =
     """(word, n): the commonest runs of letters with the blank before them, as the tokenizer splits them, over all texts."""
     found = F.regexp_extract_all(F.col("text"), F.lit(r" ?\p{L}+"), F.lit(0))
     counted = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") >= min_count) & (F.octet_length("word") <= LONGEST_WORD)).orderBy(
-        F.desc("n"), "word"
-    ).limit(words)
+    counted = materialize(
+        counted.where((F.col("n") >= min_count) & (F.octet_length("word") <= LONGEST_WORD)), "frequent-words"
+    )
+    # Counts by the logarithm's eighths show which count still fits, so the driver gets no more than the lexicon.
+    level = F.floor(F.log2("n") * 8)
+    fitting, least = 0, None
+    for at, n in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        fitting += n
+        if fitting > words:
+            break
+        least = at
+    return counted.where(F.lit(False) if least is None else level >= least)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, lexicon_words: int = LEXICON_WORDS, with_ids: bool = False):
