@@ -26,18 +26,25 @@ CUT = 0.3
 STATS = ["long", "upper", "marks", "excl", "symbols", "pipes", "digits", "repeat", "once", "word_length", "lines", "chars"]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, stats...) of every row: words of the text, and figures between 0 and about 1."""
+def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, words, stats..., kept columns) of every row: words of the text, and figures between 0 and about 1.
+
+    The columns named in ``keep`` come along as kept_<name>, so that no join brings them back.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     meta = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), meta.cast("double").alias("n_chars")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text.alias("text"),
+        meta.cast("double").alias("n_chars"),
+        *(F.col(c).alias(f"kept_{c}") for c in keep),
     ).withColumn("tokens", tokens(F.col("text")))
     n = F.size("tokens")
     chars = F.length("text")
     same = F.size(F.filter(F.col("tokens"), lambda w, i: (i > 0) & (w == F.get(F.col("tokens"), i - 1))))
     return rows.select(
         "doc_id",
+        *(f"kept_{c}" for c in keep),
         F.col("tokens").alias("words"),
         (F.log1p(n) / 10).alias("long"),
         ratio(count(F.col("text"), r"\p{Lu}"), chars).alias("upper"),
@@ -77,15 +84,18 @@ def prior(train: DataFrame) -> tuple[int, int, float]:
     return n, int(ones), (ones + 1) / (n + 2)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+def score_quality(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cut: float = CUT, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``, then the columns kept as kept_<name>.
 
     Learns from labelled rows whose crc32(doc_id) mod 5 is not 0; label, lang, source and doc_id are no inputs of a
     score. Null and empty texts are scored like any text (all their figures are 0). Where labels are absent or all
     alike the score is their smoothed share. Rows with a null doc_id are scored and not held out; repeated rows are
     scored alike. Other columns are ignored.
     """
-    rows = features(docs)
+    rows = features(docs, keep)
+    kept = [f"kept_{c}" for c in keep]
     labelled = one_label(labels, "quality").where(fold(5) != 0)
     sample = bounded_sample(labelled, "doc_id", train_rows)
     train = features(docs.join(F.broadcast(sample).select("doc_id"), "doc_id", "left_semi")).join(
@@ -95,13 +105,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     n, ones, share = prior(train)
     held_out = (fold(5) == 0).alias("held_out")
     if not 0 < ones < n:
-        scored = rows.select("doc_id", held_out, F.lit(share).alias("score"))
+        scored = rows.select("doc_id", held_out, F.lit(share).alias("score"), *kept)
     else:
         machine = FMClassifier(
             featuresCol="features", labelCol="label", factorSize=FACTORS, maxIter=ROUNDS, stepSize=STEP, regParam=1e-4, seed=11
         ).fit(_vectors(train).select("features", "label"))
         scored = machine.transform(_vectors(rows)).select(
-            "doc_id", held_out, vector_to_array("probability")[1].alias("score")
+            "doc_id", held_out, vector_to_array("probability")[1].alias("score"), *kept
         )
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 

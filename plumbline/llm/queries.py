@@ -8,12 +8,14 @@ from plumbline.llm.decontam import op9_benchmark_spaced_seeds
 from plumbline.llm.line_dedup import op5_line_dedup
 from plumbline.llm.ngram_join import op4_ngram_jaccard_join
 from plumbline.llm.quality_fm import op3_quality_factorisation_machine
+from plumbline.llm.secrets_rf import op2_secret_scan
 from plumbline.llm.sharding_kk import op6_sharding_karmarkar_karp
 from plumbline.llm.toxicity_gbt import op10_toxicity_boosted_trees
 from plumbline.llm.warc_io import OP8_SQL, op8_warc_round_trip
 
 QUERIES = {
     "op1_nearest_multi_index": op1_nearest_multi_index,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
