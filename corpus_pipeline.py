@@ -1,16 +1,70 @@
-"""The corpus pipeline: five stages, each an operator of plumbline.llm applied to what the stage before it kept."""
+"""The corpus pipeline: five stages, each an operator of plumbline.llm applied to what the stage before it kept.
+
+1. quality: documents that the factorisation machine rejects go.
+2. near_duplicates: of every class of documents linked at five words and similarity 0.8 the least doc_id stays.
+3. decontamination: documents that a benchmark item leaks into go.
+4. secrets: findings are replaced in the texts; no document goes, n_chars follows the text.
+5. tokens: what is left is encoded and decoded; one row per document.
+
+All stages but the last return the columns of ``documents``. doc_id is the key that ties the decisions of stages 2 to 4
+to rows: rows that repeat a doc_id share its decision, and rows without one are judged by stage 1 only.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: The stages can't be expressed in SQL (trained models, tokenizer); tests compare them with brute force.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe_lexicon, decontam, ngram_join, quality_fm, secrets_rf
+from plumbline.storage import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the quality classifier predicts as good."""
+    scored = quality_fm.score_quality(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS))
+    return scored.where("predicted = 1").select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of each class of near-duplicates."""
+    classes = ngram_join.jaccard_links(docs)
+    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
+    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").withColumn("text_hash", F.xxhash64("text"))
+    return rows.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents into which no benchmark item leaks."""
+    gone = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts."""
+    clean = secrets_rf.redact(docs, secrets_rf.secrets(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode what is left."""
+    return bpe_lexicon.encode(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("tokens", tokens),
+]
+#: Trained models and the tokenizer can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next stage's input."""
-    from plumbline.storage import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
