@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
 from plumbline.llm.words import word_hashes
 from plumbline.storage import table
 
@@ -22,37 +23,76 @@ STRIDE = 2
 MIN_WORDS = 8
 SHARE = 0.6
 RUN = 16
-#: Windows of items up to which the item side is broadcast; beyond, both sides are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Words compared on either side of a hit's window, and words of a text whose windows are looked up together. Long texts are
+#: cut into such pieces (each with its surroundings), so no row carries a whole long text.
+REACH = 64
+PIECE = 128
+#: Windows of items up to which the item side is broadcast (each with 136 word hashes at most); beyond, both sides are
+#: shuffled by seed.
+BROADCAST_WINDOWS = 50_000
+SPAN = len(MASKS[0])
 
 
 def _seed(words: Column, at: Column, mask: str, name: int) -> Column:
     return F.xxhash64(F.lit(name), *(F.get(words, at + i) for i, used in enumerate(mask) if used == "1"))
 
 
-def _window_hashes(rows: DataFrame, keep: Column | None, *columns: str) -> DataFrame:
-    """(columns..., seed, at) for each mask and window of the column ``h``; ``keep`` selects windows by ``at``."""
-    span = len(MASKS[0])
-    # A null instead of a filter on the size, which would compute the words twice.
-    places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
-    at = rows.select(*columns, "h", F.explode(places).alias("at"))
-    if keep is not None:
-        at = at.where(keep)
-    seeds = F.array(*(_seed(F.col("h"), F.col("at"), mask, i) for i, mask in enumerate(MASKS)))
-    return at.select(*columns, "h", "at", F.explode(seeds).alias("seed"))
+def _seeds(words: Column, at: Column) -> Column:
+    return F.explode(F.array(*(_seed(words, at, mask, i) for i, mask in enumerate(MASKS))))
+
+
+def _around(words: Column, first: Column, length: int) -> Column:
+    """(low, h): the words of a piece with REACH words on either side, and where they begin."""
+    low = F.greatest(first - REACH, F.lit(0))
+    return F.struct(low.alias("low"), F.slice(words, low + 1, first - low + length + REACH).alias("h"))
+
+
+def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_words, item_at, item_low, words, seed) for every mask and every STRIDE-th window of the items."""
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("h")
+    ).distinct()
+    last = F.size("h") - SPAN
+    windows = items.where(F.size("h") >= MIN_WORDS).select(
+        "item_id", "h", F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(STRIDE)), F.array(last))).alias("item_at")
+    )
+    cut = windows.select("item_id", "item_at", F.size("h").alias("item_words"), _around(F.col("h"), F.col("item_at"), SPAN).alias("x"), _seeds(F.col("h"), F.col("item_at")).alias("seed"))
+    return cut.select("item_id", "item_words", "item_at", F.col("x.low").alias("item_low"), F.col("x.h").alias("words"), "seed")
+
+
+def text_pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, low, h): the pieces of every whole text."""
+
+    def pieces(h):
+        firsts = F.sequence(F.lit(0), F.size(h) - SPAN, F.lit(PIECE))
+        return F.transform(firsts, lambda i: F.struct(i.alias("first"), _around(h, i, PIECE + SPAN).alias("x")))
+
+    cut = let(word_hashes(F.col("text").cast("string")), lambda h: F.when(F.size(h) >= SPAN, pieces(h)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(cut).alias("piece")).select(
+        "doc_id", "piece.first", F.col("piece.x.low").alias("low"), F.col("piece.x.h").alias("h")
+    )
+
+
+def text_windows(pieces: DataFrame, *columns: str) -> DataFrame:
+    """(columns..., at, seed) for every mask and every window of the pieces."""
+    inside = F.col("first") - F.col("low")
+    last = F.least(inside + PIECE - 1, F.size("h") - SPAN)
+    places = pieces.select(*columns, "first", "low", "h", F.explode(F.sequence(inside, last)).alias("place"))
+    return places.select(*columns, (F.col("place") + F.col("low")).alias("at"), _seeds(F.col("h"), F.col("place")).alias("seed"))
 
 
 def _overlap() -> tuple[Column, Column]:
-    """(agreeing words, best score of a run) of item ``words`` laid over text ``h`` from ``shift`` on.
+    """(agreeing words, agreeing words of the best run) of an item's words laid over a text's at the hit's alignment.
 
-    A run's score counts 1 for each word that agrees and takes 4 for each that differs, so a run of RUN words with one
-    word in five differing ends at 0 or above; the run with the most agreeing words is reported.
+    A run gains 1 for each word that agrees and loses 4 for each that differs, and starts anew where that leaves nothing.
     """
-    same = F.transform(
-        "words", lambda w, i: F.when(F.col("shift") + i >= 0, F.get(F.col("h"), F.col("shift") + i) == w)
-    )
-    same = F.transform(same, lambda x: F.coalesce(x, F.lit(False)))
-    agree = F.size(F.filter(same, lambda x: x))
+    begin = F.col("at") - F.col("item_at") + F.col("item_low") - F.col("low")
+
+    def measured(shift):
+        return F.transform(
+            "words", lambda w, i: F.coalesce(F.when(shift + i >= 0, F.get(F.col("h"), shift + i) == w), F.lit(False))
+        )
+
     start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("hits"), F.lit(0).alias("best"))
 
     def step(a, x):
@@ -60,50 +100,39 @@ def _overlap() -> tuple[Column, Column]:
         hits = F.when(x, a["hits"] + 1).when(a["score"] > 4, a["hits"]).otherwise(F.lit(0))
         return F.struct(score.alias("score"), hits.alias("hits"), F.greatest(a["best"], hits).alias("best"))
 
-    return agree, F.aggregate(same, start, step, lambda a: a["best"])
+    both = let(
+        let(begin, measured),
+        lambda same: F.struct(
+            F.size(F.filter(same, lambda x: x)).alias("matched"), F.aggregate(same, start, step, lambda a: a["best"]).alias("run")
+        ),
+    )
+    return both["matched"], both["run"]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, item_words, run) for each text and item that leaks into it, the best alignment of each.
 
-    matched counts agreeing words of the whole aligned item, run the agreeing words of its best run. Words are lower-cased
-    runs of letters and digits. Items of fewer than 8 words are never reported (they are shorter than a seed); null and
-    empty texts and items leak nothing; rows with a null doc_id or item_id take part; repeated rows count once. Other
-    columns are ignored.
+    matched counts agreeing words within 64 words of a hit, run those of the best run. Words are lower-cased runs of
+    letters and digits. Items of fewer than 8 words are never reported (they are shorter than a seed); null and empty
+    texts and items leak nothing; rows with a null doc_id or item_id take part; repeated rows count once. Other columns
+    are ignored.
     """
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("h")
-    ).distinct().where(F.size("h") >= MIN_WORDS)
-    span = len(MASKS[0])
-    last = F.size("h") - span
-    keep = (F.col("at") % STRIDE == 0) | (F.col("at") == last)
-    seeds = _window_hashes(items, keep, "item_id").select("item_id", F.col("h").alias("words"), F.col("at").alias("item_at"), "seed")
-    bounded = seeds.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("h")
-    )
-    windows = _window_hashes(texts, None, "doc_id")
-    if bounded:
-        hits = windows.join(F.broadcast(seeds), "seed")
-    else:  # the words follow by key, so that what is shuffled is seeds and places
-        place = windows.select("doc_id", "at", "seed").join(seeds.select("item_id", "item_at", "seed"), "seed")
-        place = place.select("doc_id", "item_id", "at", "item_at").distinct()
-        named = texts.withColumnRenamed("doc_id", "text_id")
-        wanted = items.select(F.col("item_id").alias("wanted_id"), F.col("h").alias("words"))
-        hits = place.join(named, F.col("doc_id").eqNullSafe(F.col("text_id"))).join(
-            wanted, F.col("item_id").eqNullSafe(F.col("wanted_id"))
+    seeds = item_seeds(benchmark)
+    pieces = text_pieces(docs)
+    if seeds.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        hits = text_windows(pieces, "doc_id", "low", "h").join(F.broadcast(seeds), "seed")
+    else:  # only seeds and places are shuffled by seed, the words follow to the hits
+        found = text_windows(pieces, "doc_id", "first").join(seeds.select("seed", "item_id", "item_at"), "seed").distinct()
+        named = pieces.select(F.col("doc_id").alias("piece_doc"), F.col("first").alias("piece_first"), "low", "h").distinct()
+        wanted = seeds.select(F.col("item_id").alias("wanted_id"), F.col("item_at").alias("wanted_at"), "item_words", "item_low", "words").distinct()
+        hits = found.join(named, F.col("doc_id").eqNullSafe(F.col("piece_doc")) & (F.col("first") == F.col("piece_first"))).join(
+            wanted, F.col("item_id").eqNullSafe(F.col("wanted_id")) & (F.col("item_at") == F.col("wanted_at"))
         )
-    agree, run = _overlap()
-    found = (
-        hits.withColumn("shift", F.col("at") - F.col("item_at"))
-        .select("doc_id", "item_id", F.size("words").alias("item_words"), agree.alias("matched"), run.alias("run"))
-        .where((F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN))
-    )
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("matched").cast("long").alias("matched"),
-        F.max("item_words").cast("long").alias("item_words"),
-        F.max("run").cast("long").alias("run"),
-    )
+    matched, run = _overlap()
+    # The tests come after the maxima: as a join condition they would keep the join out of generated code.
+    best = hits.select("doc_id", "item_id", "item_words", matched.alias("matched"), run.alias("run")).groupBy("doc_id", "item_id")
+    best = best.agg(*(F.max(c).cast("long").alias(c) for c in ("matched", "item_words", "run")))
+    return best.where((F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN))
 
 
 def op9_benchmark_spaced_seeds(spark, sf_dir: str) -> DataFrame:
