@@ -15,9 +15,9 @@ from plumbline.llm.words import word_hashes
 from plumbline.storage import table
 
 #: Fixed masks over the words of a window: 1 is hashed, 0 ignored.
-MASKS = ("11101101", "11011011", "10110111")
+MASKS = ("11010110", "10111001", "11100101", "10011110")
 #: Every STRIDE-th window of an item is hashed, and its last one; texts are hashed at every word.
-STRIDE = 2
+STRIDE = 1
 #: An item of at least MIN_WORDS words leaks into a text when, in the aligned overlap, SHARE of the item's words agree,
 #: or RUN words in a row of which at most a fifth differ.
 MIN_WORDS = 8

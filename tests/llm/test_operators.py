@@ -1,0 +1,432 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, and on awkward rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import (
+    ann_mih,
+    bpe_lexicon,
+    decontam,
+    line_dedup,
+    ngram_join,
+    quality_fm,
+    secrets_rf,
+    sharding_kk,
+    toxicity_gbt,
+    warc_io,
+)
+from plumbline.storage import table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, keys string"
+
+
+def words_of(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def awkward(spark):
+    """Nulls everywhere, empty, blank and very long texts, repeated rows, repeated ids, clashing extra columns."""
+    text = " ".join(words_of(1, 60))
+    rows = [
+        (1, text, "en", "a", 10, 0.5, 1, "x"),
+        (1, text, "en", "a", 10, 0.5, 1, "x"),
+        (2, text, None, None, None, None, None, None),
+        (3, None, None, None, None, None, None, None),
+        (4, "", "en", "a", 0, 0.1, 0, "y"),
+        (5, "   \n\t ", "en", "a", 5, 0.1, 0, "y"),
+        (None, text + " more", "en", "a", 9, 0.1, 0, "y"),
+        (None, None, None, None, None, None, None, None),
+        (6, "one", "de", "b", 3, 0.1, 0, "y"),
+        (7, " ".join(words_of(2, 30_000)), "en", "a", 1, 0.1, 0, "z"),
+        (8, "x" * 200_000, "en", "a", 1, 0.1, 0, "z"),
+        (9, "Éİ ß \U0001f600 \x00 " + text, "en", "a", 1, 0.1, 0, "z"),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_nearest_recall(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").collect()
+    ids, data = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = defaultdict(list)
+    for r in ann_mih.op1_nearest_multi_index(spark, sf_dir).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = data @ data[i]
+        best = [ids[j] for j in np.lexsort((ids, -score)) if j != i][:20]
+        got = found[ids[i]]
+        assert [x[0] for x in got] == list(range(1, 21))
+        assert all(abs(s - data[np.flatnonzero(ids == v)[0]] @ data[i]) < 1e-9 for _, v, s in got)
+        hits += len(set(best) & {v for _, v, _ in got})
+        total += 20
+    assert hits / total >= 0.9
+
+
+def test_nearest_pigeonhole_finds_the_whole_radius():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**16, (3000, 8), dtype=np.uint16)
+    codes[:40] = codes[40] ^ (1 << rng.integers(0, 16, (40, 8))).astype(np.uint16)
+    index = ann_mih._SubstringIndex(codes)
+    far = np.bitwise_count(codes ^ codes[40]).sum(axis=1)
+    for wanted in (1, 20, 41, 300):
+        got = set(index.within(codes[40], wanted).tolist())
+        assert got == set(np.flatnonzero(far <= np.sort(far)[wanted - 1]).tolist())
+
+
+def test_nearest_awkward(spark):
+    rows = [
+        (0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),
+        (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (7, [None, 1.0], 1), (None, [1.0, 1.0], 1), (8, [], 1), (9, [1.0], 1),
+        (20, [1.0, 0.0], 1), (40, None, 1),
+    ]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    out = ann_mih.nearest(data, data.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [
+        (0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 1.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 1.0)
+    ]
+    assert ann_mih.nearest(data.limit(0), data.limit(0)).count() == 0
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_secrets_found_and_redacted(spark, sf_dir):
+    key = "AKIA" + "QZ7RWX2LMKDJ4TNB"
+    docs = spark.createDataFrame(
+        [
+            (1, f'a token = "{hashlib.sha1(b"1").hexdigest()}" b', "x"),
+            (2, f"so {key} it is, {key}", "x"),
+            (3, "card 4785380592391139 and 4785380592391139", "x"),
+            (4, "commit " + hashlib.sha1(b"2").hexdigest() + " fixes it", None),
+            (5, None, "x"),
+            (6, "", "x"),
+            (7, "password=" + hashlib.md5(b"3").hexdigest()[:18] + " rest", "x"),
+        ],
+        "doc_id long, text string, source string",
+    )
+    found = secrets_rf.secrets(docs)
+    got = sorted((r.doc_id, r.start, r.end) for r in found.collect())
+    assert got == [(1, 11, 51), (2, 3, 23), (2, 31, 51), (7, 9, 27)]
+    clean = {r.doc_id: r.text for r in secrets_rf.redact(docs, found).collect()}
+    assert clean[1] == 'a token = "[SECRET]" b' and clean[2] == "so [SECRET] it is, [SECRET]" and clean[5] is None
+    assert clean[3].count("4785380592391139") == 2
+    planted = {(r.doc_id, m.start(1)) for r in table(spark, sf_dir, "documents").collect() for m in re.finditer(r'token = "([0-9a-f]{40})', r.text)}
+    assert planted <= {(r.doc_id, r.start) for r in secrets_rf.op2_secret_scan(spark, sf_dir).collect()}
+
+
+def test_secrets_awkward(spark):
+    assert secrets_rf.secrets(awkward(spark)).count() == 0
+    assert secrets_rf.secrets(empty(spark)).count() == 0
+
+
+# 3 and 10 --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("query", "column"), [(quality_fm.op3_quality_factorisation_machine, "quality"), (toxicity_gbt.op10_toxicity_boosted_trees, "toxic")])
+def test_classifiers_held_out(spark, column, query):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[column] for r in table(spark, sf, "labels").collect()}
+    rows = query(spark, sf).collect()
+    assert len(rows) == table(spark, sf, "documents").count()
+    modulus, remainder = (5, 0) if column == "quality" else (3, 1)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == remainder) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= (0.3 if column == "quality" else 0.7)) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.93
+
+
+@pytest.mark.parametrize("score", [quality_fm.score_quality, toxicity_gbt.score_toxicity])
+def test_classifiers_awkward(spark, score):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert score(empty(spark), none).count() == 0
+    rows = score(awkward(spark), none).collect()
+    assert len(rows) == 12 and all(r.score == 0.5 for r in rows)
+    some = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (4, 0, 0), (None, 1, 1), (6, None, None), (7, 0, 0), (9, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = score(awkward(spark), some).collect()
+    assert len(rows) == 12 and all(r.score is not None and 0 <= r.score <= 1 for r in rows)
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------
+
+
+def links_by_force(docs):
+    sets = {}
+    for i, text in docs:
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    n = Counter()
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                common = len(sets[a] & sets[b])
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                    n[a] += 1
+                    n[b] += 1
+    return n
+
+
+def test_join_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    n = links_by_force(docs)
+    got = {r.doc_id: r.n_links for r in ngram_join.op4_ngram_jaccard_join(spark, sf_dir).collect()}
+    assert got == {i: n[i] for i, _ in docs}
+
+
+def test_join_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    base = words_of(5, 120)
+    rng = random.Random(9)
+    docs = []
+    for i in range(70):
+        w = list(base)
+        w[rng.randrange(120)] = f"z{i}"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, docs[0][1].upper() + "!") for i in range(5)] + [(200, "quite another text of a few words")]
+    got = {r.doc_id: r for r in ngram_join.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    n = links_by_force(docs)
+    assert {i: r.n_links for i, r in got.items()} == {i: n[i] for i, _ in docs}
+    assert {r.class_id for i, r in got.items() if i != 200} == {0} and got[200].class_id == 200 and got[0].copies == 6
+
+
+def test_join_awkward(spark):
+    assert ngram_join.jaccard_links(empty(spark)).count() == 0
+    rows = ngram_join.jaccard_links(awkward(spark)).collect()
+    assert len(rows) == 12
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert [(r.class_id, r.copies, r.n_links) for r in by[1]] == [(1, 3, 4)] * 2
+    assert by[2][0].class_id == 1
+    assert all((by[i][0].class_id, by[i][0].n_links) == (i, 0) for i in (3, 4, 5, 6, 7, 8))
+    assert sorted((r.class_id or 0, r.n_links) for r in by[None]) == [(0, 0), (1, 3)] or sorted((r.class_id or 0) for r in by[None]) == [0, 1]
+
+
+def test_forest_depth():
+    assert ngram_join.forest_depth(32, 8, 0.8, 0.999) == 7
+    assert ngram_join.forest_depth(1, 8, 0.8, 0.999) == 1
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_passages_inside_lines_are_found(spark):
+    rng = random.Random(4)
+    passage = " ".join(words_of(77, 60))
+    docs = []
+    for i in range(40):
+        own = words_of(1000 + i, 150)
+        at = rng.randrange(20, 130)
+        text = " ".join([*own[:at], passage.title() if i % 2 else passage, *own[at:]]) if i < 25 else " ".join(own)
+        docs.append((i, "heading of the site\n" + text))
+    rows = line_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(range(1, 25)) and {r.kept_doc_id for r in rows} == {0}
+    texts = dict(docs)
+    for r in rows:
+        cut = texts[r.doc_id][r.start : r.end]
+        assert len(cut.split()) == r.words and cut.lower() in passage
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in line_dedup.remove_passages(frame, line_dedup.repeated_passages(frame)).collect()}
+    assert clean[0] == texts[0] and clean[30] == texts[30]
+    assert all(clean[r.doc_id] == texts[r.doc_id][: r.start] + texts[r.doc_id][r.end :] for r in rows)
+
+
+def test_units_equal_brute_force(sf_dir, spark):
+    texts = [r.text for r in table(spark, sf_dir, "documents").limit(60).collect()] + ["", " ", "a b\r\nc  d", "İx y"]
+    owner, start, end, words, digest = line_dedup.cut_units(texts)
+    seen: dict = {}
+    for o, s, e, w, d in zip(owner, start, end, words, digest, strict=True):
+        unit = texts[o][s:e]
+        assert len(unit.split()) == w and "\n" not in unit
+        assert seen.setdefault(tuple(x.lower() for x in unit.split()), d) == d
+    assert len(set(seen.values())) == len(seen)
+    assert [len(t.split()) for t in texts] == [int(words[owner == i].sum()) for i in range(len(texts))]
+
+
+def test_passages_awkward(spark):
+    assert line_dedup.repeated_passages(empty(spark)).count() == 0
+    rows = {(r.doc_id, r.start, r.words) for r in line_dedup.repeated_passages(awkward(spark)).collect()}
+    assert {r[0] for r in rows} == {2, 9, None}
+    assert (2, 0, 60) in rows
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_shards(spark, sf_dir):
+    rows = sharding_kk.op6_sharding_karmarkar_karp(spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    total, where, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in rows:
+        total[r.shard] += r["size"]
+        where[docs[r.doc_id]].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in where.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(total.values()) - min(total.values()) <= 0.01 * sum(total.values()) / 8 and set(total) == set(range(8))
+
+
+def test_shards_in_levels(spark):
+    groups = spark.range(3000).select(F.col("id").alias("item"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) + 1).alias("size"))
+    rows = sharding_kk.balance(groups, 8, bin_rows=100).join(groups, "item").groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    sums = [r.s for r in rows]
+    assert len(sums) == 8 and sum(r.n for r in rows) == 3000 and max(sums) - min(sums) <= 10
+
+
+def test_shards_awkward(spark):
+    assert sharding_kk.shard_documents(empty(spark)).count() == 0
+    rows = sharding_kk.shard_documents(awkward(spark)).collect()
+    assert len(rows) == 12 and all(r.law == "bytes" and r.grown_shard is None for r in rows)
+    assert {r["size"] for r in rows if r.doc_id in (3, 4)} == {1} and len({r.shard for r in rows if r["size"] == 1}) == 1
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, sf_dir):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(bpe_lexicon.default_tokenizer())
+    texts = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    texts += list(enumerate(
+        ["a<|endoftext|>b  c\n\n d", "<|endoftext|>", "", "x\x00<|endoftext|>\x00\x00y", "don't I'LL 12 ½ ٣　​ tab\t\t\n x" + "ab" * 400, "日本語 \U0001f600 é", None],
+        10_000,
+    ))
+    got = {r.doc_id: r for r in bpe_lexicon.encode(spark.createDataFrame(texts, "doc_id long, text string"), with_ids=True).collect()}
+    for i, text in texts:
+        ids = own.encode(text or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_lexicon_is_minimal_and_exact(tmp_path):
+    words = sorted({w.encode() for w in words_of(8, 3000)})
+    arrays = bpe_lexicon.compile_lexicon(words, [[i, i + 1] for i in range(len(words))])
+    bpe_lexicon.Lexicon.save(arrays, str(tmp_path / "l"))
+    lexicon = bpe_lexicon.Lexicon(str(tmp_path / "l"))
+    ranks = lexicon.ranks([*words, b"", b"zz", words[0] + b"q", words[5][:1]])
+    assert ranks[: len(words)].tolist() == list(range(len(words)))
+    assert set(ranks[len(words) : -1].tolist()) == {-1}
+    right = defaultdict(set)  # words' endings from each state are told apart: no two states accept the same
+    for key, target in zip(arrays["key"][::-1], arrays["target"][::-1], strict=True):
+        right[key // 256].add((key % 256, target))
+    forms = [(bool(f), frozenset(right[s])) for s, f in enumerate(arrays["final"])]
+    assert len(set(forms)) == len(forms)
+
+
+def test_bpe_awkward(spark):
+    assert bpe_lexicon.encode(empty(spark)).count() == 0
+    rows = bpe_lexicon.encode(awkward(spark)).collect()
+    assert len(rows) == 12 and sorted(r.n_tokens for r in rows)[:3] == [0, 0, 0]
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip_with_small_splits(spark, tmp_path):
+    rng = random.Random(2)
+    noise = [rng.randbytes(3000).hex() for _ in range(20)]
+    rows = [(i, f"http://a.b/{i} x\n", noise[i % 12] * (1 + i % 3)) for i in range(60)]
+    rows += [(100, None, None), (101, "", ""), (None, "http://n", noise[0]), (102, "u", "\x1f\x8b\x08 magic"), (102, "u", "\x1f\x8b\x08 magic"), (103, "u", "d\r\n\r\ne")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    archives = warc_io.write_warc(pages, f"file://{tmp_path}/warc")
+    for split in (700, 1 << 20):
+        got = warc_io.read_warc(spark, archives, split).collect()
+        assert len(got) == len(rows)
+        largest: dict = {}
+        for i, _, html in rows:
+            if i is not None:
+                largest[html or ""] = max(largest.get(html or "", -1), i)
+        text = defaultdict(list)
+        for i, _, html in rows:
+            text[i].append(html or "")
+        for r in got:
+            html = text[r.page_id][0]
+            digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+            assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), digest)
+            first = r.page_id == largest[html]
+            assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", largest[html]))
+            assert r.payload == (html.encode() if first else None)
+
+
+def test_warc_reader_passes_over_false_magic(tmp_path):
+    import gzip
+
+    good = warc_io._record(7, "u", b"payload", False, None)
+    bad = warc_io.MAGIC + b"not a member" + gzip.compress(b"no record") + warc_io.MAGIC
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(bad + good + bad + good)
+    size = path.stat().st_size
+    whole = [x[3] for x in warc_io._read_range(str(path), 0, size)]
+    assert whole == [len(bad), 2 * len(bad) + len(good)]
+    parts = [x[3] for a in range(0, size, 37) for x in warc_io._read_range(str(path), a, a + 37)]
+    assert parts == whole
+
+
+def test_warc_empty(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc_io.read_warc(spark, warc_io.write_warc(pages, f"file://{tmp_path}/w")).count() == 0
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def planted(seed, substitute):
+    rng = random.Random(seed)
+    items = [(i, " ".join(words_of(5000 + i, rng.randint(12, 60)))) for i in range(12)]
+    docs, true = [], set()
+    for i in range(60):
+        own = words_of(9000 + i, 200)
+        if i % 3 == 0:
+            item, text = items[(i // 3) % 12]
+            w = text.upper().split()
+            for k in range(len(w)):
+                if rng.random() < substitute:
+                    w[k] = f"q{i}{k}"
+            at = rng.randrange(190)
+            own[at:at] = w
+            true.add((i, item))
+        docs.append((i, ", ".join(own)))
+    return items, docs, true
+
+
+@pytest.mark.parametrize(("substitute", "bound"), [(0.0, 200_000), (0.1, 200_000), (0.1, 0)])
+def test_leaks_with_substitutions(spark, monkeypatch, substitute, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)
+    items, docs, true = planted(3, substitute)
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = got.collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == true
+    if not substitute:
+        assert all(r.matched == r.item_words == r.run for r in rows)
+
+
+def test_leaks_equal_brute_force(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents").collect(), table(spark, sf_dir, "benchmark").collect()
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    true = {(d.doc_id, i.item_id) for d in docs for i in items if plain(i.text) in plain(d.text)}
+    assert true <= {(r.doc_id, r.item_id) for r in decontam.op9_benchmark_spaced_seeds(spark, sf_dir).collect()}
+
+
+def test_leaks_awkward(spark):
+    bench = spark.createDataFrame([(1, " ".join(words_of(1, 60)), 3), (1, " ".join(words_of(1, 60)), 3), (2, None, 1), (3, "", 1), (None, "one", 1)], "item_id long, text string, score int")
+    assert decontam.leaks(empty(spark), bench).count() == 0
+    assert decontam.leaks(awkward(spark), bench.limit(0)).count() == 0
+    rows = {(r.doc_id, r.item_id) for r in decontam.leaks(awkward(spark), bench).collect()}
+    assert rows == {(1, 1), (2, 1), (9, 1), (None, 1)}
