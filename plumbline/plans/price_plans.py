@@ -49,7 +49,7 @@ def peer_price_percentile(spark, sf_dir: str) -> DataFrame:
 def price_outliers(spark, sf_dir: str) -> DataFrame:
     found = prices.outliers(unit_prices(spark, sf_dir), ["p_type"], "unit_price", width=0.8)
     return found.groupBy("p_type").agg(
-        F.first("n").alias("n"), F.count("*").alias("outliers"), r4(F.min("unit_price"), "least"), r4(F.max("unit_price"), "most")
+        F.first("n").alias("n"), F.count("*").alias("outliers"), F.min("unit_price").alias("least"), F.max("unit_price").alias("most")
     )
 
 
@@ -128,7 +128,7 @@ ORACLE_SQL = {
       SELECT p_partkey, p_type, n, round(100 * (below + same / 2) / n, 4) AS percentile,
         CASE WHEN x < p25 THEN 'below' WHEN x > p75 THEN 'above' ELSE 'within' END AS position FROM r JOIN s USING (p_type)""",
     "price_outliers": f"""WITH {UNIT}, s AS ({STATS.format(keys="p_type", x="unit_price", t="u", least=10)})
-      SELECT p_type, max(n) AS n, count(*) AS outliers, round(min(unit_price), 4) AS least, round(max(unit_price), 4) AS most
+      SELECT p_type, max(n) AS n, count(*) AS outliers, min(unit_price) AS least, max(unit_price) AS most
       FROM u JOIN s USING (p_type) WHERE ln(unit_price) < ln(p25) - 0.8 * (ln(p75) - ln(p25)) OR ln(unit_price) > ln(p75) + 0.8 * (ln(p75) - ln(p25))
       GROUP BY p_type""",
     "price_position": f"""WITH s AS ({STATS.format(keys="p_type, p_brand", x="p_retailprice", t="part", least=3)})
