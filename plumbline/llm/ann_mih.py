@@ -4,7 +4,11 @@ Vectors become binary codes: signs of coordinates after rotations that are learn
 bounded sample. A code is split into 16-bit substrings and each substring is indexed by its value. By the pigeonhole
 principle a code within Hamming distance r of the query's has, in at least one of m substrings, at most floor(r / m)
 differing bits; probing all substrings at growing radius therefore finds every code within the radius, the radius grows
-until it holds ``rerank`` codes, and those are ranked by the exact inner product.
+until it holds ``rerank`` codes, and those are ranked by the exact inner product; it is doubled until that brings no
+better neighbour.
+
+Angles rank as inner products do among vectors of like norm only, so a shard is cut in ranges of norms, each padded to
+its own longest norm and indexed by itself. A range takes no part where not even its longest norm can reach the k-th best.
 
 Spark deals the index into shards and the queries into blocks, each task searches one block in one shard, and the best
 of all shards are merged. Every vector is indexed; only the rotations are fitted on the sample.
@@ -27,6 +31,8 @@ BITS = 512
 CHUNK = 16
 #: Codes that the Hamming radius holds at least, per shard, before exact ranking.
 RERANK = 512
+#: Norms of a range differ by this factor at most, but where the range is reranked whole.
+NORM_RATIO = 1.1
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 #: Vectors that the rotations are fitted on, at most; chosen by a hash of the id.
@@ -67,13 +73,21 @@ class _SubstringIndex:
         A table's values are compared with the query's substring at once, which finds what enumerating all values of
         the substring radius would, for any radius.
         """
-        m = len(self.tables)
+        return self.nearest(*self.distances(code), wanted)
+
+    def distances(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's least distance in any substring, and its Hamming distance."""
         nearest = np.full(self.rows, CHUNK + 1, np.uint8)  # least distance in any substring
         total = np.zeros(self.rows, np.uint16)
         for t, (values, where) in enumerate(self.tables):
             far = np.bitwise_count(values ^ code[t])[where]
             np.minimum(nearest, far, out=nearest)
             total += far
+        return nearest, total
+
+    def nearest(self, nearest: np.ndarray, total: np.ndarray, wanted: int) -> np.ndarray:
+        """``within`` for distances that are known."""
+        m = len(self.tables)
         wanted = min(wanted, self.rows)
         for radius in range(CHUNK + 1):
             probed = np.flatnonzero(nearest <= radius)
@@ -93,23 +107,59 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
-def _search(queries: pa.Table, shard: pa.Table, turn: np.ndarray, longest: float, k: int, rerank: int) -> pa.Table:
+def _ranges(norms: np.ndarray, whole: int) -> list[np.ndarray]:
+    """Rows by falling norm, cut where the norm has shrunk by NORM_RATIO; neighbours of ``whole`` rows together are one."""
+    order = np.argsort(-norms, kind="stable")
+    norms = np.maximum(norms[order], np.finfo(float).tiny)
+    level = np.floor(np.log(norms[:1] / norms) / math.log(NORM_RATIO))
+    found: list[np.ndarray] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(level)) + 1):
+        if found and len(found[-1]) + len(rows) <= whole:
+            found[-1] = np.concatenate([found[-1], rows])
+        else:
+            found.append(rows)
+    return found
+
+
+def _padded(data: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """One more coordinate makes all vectors as long as the longest, so that angles rank as inner products do."""
+    return np.column_stack([data, np.sqrt(np.maximum(0, norms.max(initial=0) ** 2 - norms**2))])
+
+
+def _search(queries: pa.Table, shard: pa.Table, turn: np.ndarray, k: int, rerank: int) -> pa.Table:
     out = {"query_id": [], "vec_id": [], "score": []}
     if queries.num_rows and shard.num_rows:
         ids, own = shard["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         data, asked = _vectors(shard["vector"]), _vectors(queries["vector"])
-        # One more coordinate makes all indexed vectors equally long, so that angles rank as inner products do.
-        rest = np.sqrt(np.maximum(0, longest**2 - (data**2).sum(axis=1)))
-        index = _SubstringIndex(_codes(np.column_stack([data, rest]), turn))
+        rerank = max(rerank, k + 1)
+        norms, reach = np.sqrt((data**2).sum(axis=1)), np.sqrt((asked**2).sum(axis=1))
+        ranges = [
+            (rows, norms[rows].max(), _SubstringIndex(_codes(_padded(data[rows], norms[rows]), turn)) if len(rows) > rerank else None)
+            for rows in _ranges(norms, rerank)
+        ]
         codes = _codes(np.column_stack([asked, np.zeros(len(asked))]), turn)
         for i, me in enumerate(own):
-            found = index.within(codes[i], max(rerank, k + 1))
-            found = found[ids[found] != me]
-            score = (data[found] * asked[i]).sum(axis=1)
-            best = np.lexsort((ids[found], -score))[:k]
+            best, score = np.zeros(0, np.int64), np.zeros(0)
+            for rows, longest, index in ranges:
+                if len(best) == k and score[-1] > reach[i] * longest * (1 + 1e-9):
+                    break
+                far = index.distances(codes[i]) if index else ()
+                wanted, seen = rerank, np.zeros(0, np.int64)
+                while True:
+                    near = index.nearest(*far, wanted) if index else np.arange(len(rows))
+                    fresh = rows[np.setdiff1d(near, seen, assume_unique=True)]
+                    fresh = fresh[ids[fresh] != me]
+                    both = np.concatenate([best, fresh])
+                    scores = np.concatenate([score, (data[fresh] * asked[i]).sum(axis=1)])
+                    top = np.lexsort((ids[both], -scores))[:k]
+                    same = len(top) == len(best) and (top < len(best)).all()
+                    best, score = both[top], scores[top]
+                    if len(near) == len(rows) or (same and len(seen)):
+                        break
+                    wanted, seen = 2 * len(near), near
             out["query_id"].append(np.full(len(best), me))
-            out["vec_id"].append(ids[found][best])
-            out["score"].append(score[best])
+            out["vec_id"].append(ids[best])
+            out["score"].append(score)
     kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
     return pa.table({c: np.concatenate([np.zeros(0, kinds[c]), *v]).astype(kinds[c]) for c, v in out.items()})
 
@@ -148,13 +198,12 @@ def nearest(
     lengths = data.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = lengths["n"] if lengths else 1
     data, asked = (x.where(F.size("vector") == dim) for x in (data, asked))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    rows, longest = data.agg(F.count("*"), F.max(norm)).first()
-    asked_rows = asked.count()
-    longest = longest or 1.0
+    rows, asked_rows = data.count(), asked.count()
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()
     fit = _vectors(sample["vector"]) if sample.num_rows else np.zeros((0, dim))
-    fit = np.column_stack([fit, np.sqrt(np.maximum(0, longest**2 - (fit**2).sum(axis=1)))]) / longest
+    norms = np.sqrt((fit**2).sum(axis=1))
+    parts = [_padded(fit[r], norms[r]) / max(norms[r].max(), np.finfo(float).tiny) for r in _ranges(norms, 0)] if len(fit) else []
+    fit = np.concatenate(parts) if parts else np.zeros((0, dim + 1))
     turn = _learn(fit - fit.mean(axis=0) if len(fit) else fit, bits)
 
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asked_rows / query_rows))
@@ -170,7 +219,7 @@ def nearest(
     left = dealt(asked, "block", blocks, "shard", shards).groupBy("block", "shard")
     right = dealt(data, "shard", shards, "block", blocks).groupBy("block", "shard")
     found = left.cogroup(right).applyInArrow(
-        lambda q, s: _search(q, s, turn, longest, k, rerank), "query_id long, vec_id long, score double"
+        lambda q, s: _search(q, s, turn, k, rerank), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

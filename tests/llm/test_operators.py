@@ -89,6 +89,26 @@ def test_nearest_pigeonhole_finds_the_whole_radius():
         assert got == set(np.flatnonzero(far <= np.sort(far)[wanted - 1]).tolist())
 
 
+@pytest.mark.parametrize("kind", ["equal", "one_long", "one_very_long", "lognormal"])
+def test_nearest_recall_on_mixed_norms(spark, kind):
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(3000, 32))
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    if kind == "lognormal":
+        data *= rng.lognormal(0, 1, 3000)[:, None]
+    data[7] *= {"one_long": 10, "one_very_long": 100}.get(kind, 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann_mih.nearest(rows, rows.where("vec_id % 50 = 0"), rerank=150).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in range(0, 3000, 50):
+        score = data @ data[i]
+        score[i] = -np.inf
+        hits += len(found[i] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (60 * 20) >= 0.9
+
+
 def test_nearest_awkward(spark):
     rows = [
         (0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),
