@@ -4,7 +4,8 @@ Units are the lines of a text, cut further where their own words say so: before
 is least among its neighbours. Such cuts depend on a few words only, so a passage set in the middle of a longer line has
 the same units inside as everywhere else. Units are normalised (lower case, white space between words as one blank) and
 hashed, digests are grouped globally, the earliest occurrence, ranked by doc_id and then by place, is kept and all others
-are removed where they make up a passage of ``MIN_WORDS`` words in a row. Removed passages keep their offsets in the
+are removed where they make up a passage of ``MIN_WORDS`` words in a row. Whole lines have digests of their own: all
+occurrences of a line but the earliest are removed from ``LINE_WORDS`` words on. Removed passages keep their offsets in the
 original text, so a cleaned text can be rebuilt, or the removal undone, at any time.
 """
 
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from plumbline.storage import materialize, table
 
-#: Words in a row that a repeated passage has at least; shorter ones (headings, licence lines) repeat by themselves.
+#: Words in a row that a repeated passage inside lines has at least.
 MIN_WORDS = 25
+#: Words of a repeated line at least; shorter ones are headings and the like.
+LINE_WORDS = 5
 #: A line is cut before a word whose hash is least among so many words on either side.
 REACH = 3
 CHUNK_CHARS = 1_000_000
-UNITS = "doc_id long, unit int, start long, end long, words int, again boolean, digest long"
+UNITS = "doc_id long, unit int, last int, whole boolean, start long, end long, words int, again boolean, digest long"
 NO_ID = 2**63 - 1
 
 
@@ -54,6 +57,11 @@ def _lower(text: str) -> str:
 
 def cut_units(texts: list[str], reach: int = REACH):
     """(text, start, end, words, digest) arrays of all units of all texts, in order."""
+    return _cut(texts, reach)[0]
+
+
+def _cut(texts: list[str], reach: int):
+    """The arrays of ``cut_units``, and (first unit, last unit, words, digest) arrays of all lines, in order."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths + 1) - lengths - 1
     chars = np.frombuffer(_lower("\n".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -63,7 +71,7 @@ def cut_units(texts: list[str], reach: int = REACH):
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (none,) * 5, (none,) * 4
     with np.errstate(over="ignore"):
         words = _range_hashes(_mix(chars.astype(np.uint64) + np.uint64(1)), start, end, 0x9E3779B97F4A7C15)
         line = np.searchsorted(np.flatnonzero(chars == 10), start)
@@ -74,15 +82,20 @@ def cut_units(texts: list[str], reach: int = REACH):
             near = line[k:] == line[:-k]
             cut[k:] &= ~near | (rank[k:] < rank[:-k])
             cut[:-k] &= ~near | (rank[:-k] <= rank[k:])
-        cut |= np.concatenate([[True], line[1:] != line[:-1]])
+        fresh = np.concatenate([[True], line[1:] != line[:-1]])
+        cut |= fresh
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(words))
         digest = _range_hashes(words, first, last, 0xD6E8FEB86659FD93).view(np.int64)
+        line_first = np.flatnonzero(fresh)
+        line_last = np.append(line_first[1:], len(words))
+        line_digest = _range_hashes(words, line_first, line_last, 0xC2B2AE3D27D4EB4F).view(np.int64)
+    lines = np.searchsorted(first, line_first), np.searchsorted(first, line_last) - 1, line_last - line_first, line_digest
     owner = np.searchsorted(begin, start[first], "right") - 1
-    return owner, start[first] - begin[owner], end[last - 1] - begin[owner], last - first, digest
+    return (owner, start[first] - begin[owner], end[last - 1] - begin[owner], last - first, digest), lines
 
 
-def _units(batches, reach: int):
+def _units(batches, reach: int, line_words: int):
     for batch in batches:
         keys, column = batch.column(0), batch.column(1)
         first = 0
@@ -91,8 +104,14 @@ def _units(batches, reach: int):
             while first + len(texts) < batch.num_rows and (held < CHUNK_CHARS or not texts):
                 texts.append(column[first + len(texts)].as_py() or "")
                 held += len(texts[-1]) + 1
-            owner, start, end, words, digest = cut_units(texts, reach)
+            (owner, start, end, words, digest), lines = _cut(texts, reach)
             unit = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            # Lines follow as further rows.
+            a, b, line_n, line_digest = (x[lines[2] >= line_words] for x in lines)
+            whole = np.repeat([False, True], [len(owner), len(a)])
+            last = np.concatenate([unit, unit[b]])
+            owner, unit, start, end = (np.concatenate([x, x[i]]) for x, i in ((owner, a), (unit, a), (start, a), (end, b)))
+            words, digest = np.concatenate([words, line_n]), np.concatenate([digest, line_digest])
             order = np.lexsort((unit, digest, owner))
             again = np.zeros(len(owner), bool)
             again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
@@ -100,27 +119,29 @@ def _units(batches, reach: int):
                 [
                     keys.slice(first, len(texts)).take(pa.array(owner)),
                     pa.array(unit.astype(np.int32)),
+                    pa.array(last.astype(np.int32)),
+                    pa.array(whole),
                     pa.array(start),
                     pa.array(end),
                     pa.array(words.astype(np.int32)),
                     pa.array(again),
                     pa.array(digest),
                 ],
-                names=["doc_id", "unit", "start", "end", "words", "again", "digest"],
+                names=["doc_id", "unit", "last", "whole", "start", "end", "words", "again", "digest"],
             )
             first += len(texts)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH, line_words: int = LINE_WORDS) -> DataFrame:
     """One row per removed passage: (doc_id, start, end, words, units, kept_doc_id).
 
     start and end are character offsets in the original text; a passage is a run of adjacent units, each of which occurs
-    earlier (in a smaller doc_id, or before in the same text), of at least ``min_words`` words together. kept_doc_id is
-    the least doc_id that keeps one of its units. Rows with a null doc_id rank last, and count as one text; rows that
+    earlier (in a smaller doc_id, or before in the same text), of at least ``min_words`` words together, or a line of at
+    least ``line_words`` words that occurs earlier as a line. kept_doc_id is the least doc_id that keeps one of its units. Rows with a null doc_id rank last, and count as one text; rows that
     repeat a doc_id are one occurrence. Null, empty and blank texts lose nothing. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = materialize(rows.mapInArrow(lambda batches: _units(batches, reach), UNITS), "units")
+    units = materialize(rows.mapInArrow(lambda batches: _units(batches, reach, line_words), UNITS), "units")
     units = units.withColumn("ranked", F.coalesce("doc_id", F.lit(NO_ID)))
     # Minima combine before the shuffle, so a unit that a third of all rows share costs one row a task.
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min("ranked").alias("kept")).where("n > 1")
@@ -128,22 +149,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int =
     later = (
         units.join(first.select("digest", "kept").hint("merge"), "digest")
         .where("again or ranked != kept")
-        .groupBy("ranked", "unit", "start", "end", "words")
+        .groupBy("ranked", "unit", "last", "whole", "start", "end", "words")
         .agg(F.min("kept").alias("kept"))
     )
-    along = Window.partitionBy("ranked").orderBy("unit", "start")
-    runs = later.withColumn("new", (F.col("unit") - F.lag("unit", 1, -2).over(along) > 1).cast("int"))
+    # A line comes before its units, which add nothing to it.
+    along = Window.partitionBy("ranked").orderBy("unit", F.desc("whole"), "start")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("last").over(before), F.lit(-2))
+    lined = F.coalesce(F.max(F.when(F.col("whole"), F.col("last"))).over(before), F.lit(-1))
+    runs = later.withColumns({"new": (F.col("unit") - reached > 1).cast("int"), "own": (F.col("whole") | (F.col("last") > lined)).cast("int")})
     runs = runs.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    long = F.sum(F.col("words") * F.col("own")).over(Window.partitionBy("ranked", "run")) >= min_words
     return (
-        runs.groupBy("ranked", "run")
+        runs.withColumn("line", F.when(long, -1).when(F.col("whole"), F.col("unit")))
+        .where("line is not null")
+        .groupBy("ranked", "run", "line")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.sum("words").alias("words"),
-            F.count("*").alias("units"),
+            F.sum(F.col("words") * F.col("own")).alias("words"),
+            F.sum((F.col("last") - F.col("unit") + 1) * F.col("own")).alias("units"),
             F.min("kept").alias("kept"),
         )
-        .where(F.col("words") >= min_words)
         .select(
             F.nullif(F.col("ranked"), F.lit(NO_ID)).alias("doc_id"),
             "start",

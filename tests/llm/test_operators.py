@@ -267,6 +267,28 @@ def test_passages_inside_lines_are_found(spark):
     assert all(clean[r.doc_id] == texts[r.doc_id][: r.start] + texts[r.doc_id][r.end :] for r in rows)
 
 
+def test_short_repeated_lines_go(spark):
+    line = {n: " ".join(words_of(300 + n, n)) for n in (4, 5, 8, 24)}
+    own = [" ".join(words_of(400 + i, 30)) for i in range(6)]
+    docs = [
+        (0, "\n".join([own[0], line[8], line[5], line[4]])),
+        (1, "\n".join([line[8].upper(), own[1], line[24], "x", line[4], own[2]])),
+        (2, "\n".join([own[3], line[24], line[5], own[4] + " " + line[8]])),
+        (3, "\n".join([line[8], "y", line[8]])),
+        (3, "\n".join([line[8], "y", line[8]])),
+        (4, own[5] + "\nz\n" + own[5]),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    passages = line_dedup.repeated_passages(frame)
+    texts = dict(docs)
+    got = sorted((r.doc_id, texts[r.doc_id][r.start : r.end].lower(), r.words, r.kept_doc_id) for r in passages.collect())
+    assert got == sorted([
+        (1, line[8], 8, 0), (2, line[24] + "\n" + line[5], 29, 0), (3, line[8], 8, 0), (3, line[8], 8, 0), (4, own[5], 30, 4),
+    ])
+    clean = {r.doc_id: r.text for r in line_dedup.remove_passages(frame, passages).collect()}
+    assert clean[0] == texts[0] and clean[3] == "\ny\n" and clean[4] == own[5] + "\nz\n"
+
+
 def test_units_equal_brute_force(sf_dir, spark):
     texts = [r.text for r in table(spark, sf_dir, "documents").limit(60).collect()] + ["", " ", "a b\r\nc  d", "İx y"]
     owner, start, end, words, digest = line_dedup.cut_units(texts)
