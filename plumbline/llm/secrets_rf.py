@@ -1,6 +1,7 @@
 """Secret scan: patterns propose candidates, a random forest removes false positives. DataFrame operations alone.
 
-Candidates are long runs of key characters with a digit, quoted values after an assignment sign, and key blocks. Cutting a
+Candidates are runs of key characters with a digit, runs behind a known prefix, values after a secret word and an
+assignment sign, other quoted values with a digit after such a sign, and key blocks, whole or without their end. Cutting a
 text at its candidates gives every candidate its exact offsets and its neighbouring words in one pass each. The forest
 looks at a candidate's length, character transitions, coverage by dictionary words, the path that the text comes from
 and the neighbouring words; it is trained on labelled findings.
@@ -25,10 +26,16 @@ FINDINGS = 6000
 CONTEXT = 64
 REDACTED = "[SECRET]"
 # What may be a secret.
+ASSIGNED = r"(?i:token|secret|passw|passwd|password|passphrase|pwd|(?:api|access|secret|private|auth).?key|auth|credentials?)[\"']?\s{0,2}:?[=:]\s{0,2}"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,9}(?:[A-Za-z][A-Za-z0-9-]{1,30}: [^\n]{0,200}\n\s{0,9}){0,9}"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-    r"|(?<=[=:][ ]?[\"'])(?=[^\"'\s]{0,64}[0-9])[^\"'\s]{8,}(?=[\"'])"
+    KEY_BLOCK + r"[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|" + KEY_BLOCK + r"(?:[A-Za-z0-9+/]{16,}+={0,2}\s{0,2}){1,400}(?:[A-Za-z0-9+/]{1,15}={1,2})?"
+    r"|(?<![A-Za-z0-9+/_-])(?:AKIA|ASIA|gh[posru]_|github_pat_|sk-|[sr]k_live_|xox[abprs]-|glpat-|AIza|ya29\.|eyJ|SG\.|npm_)[A-Za-z0-9+/_-]{12,}+={0,2}"
+    r"|(?<=[\"'])(?<=" + ASSIGNED + r"[\"'])[^\"'\s]{8,}+(?=[\"'])"
+    r"|(?<=[=:]\s{0,2})(?<=" + ASSIGNED + r")(?![=:\s])[^\"'\s]{7,}[^\"'\s,;.)]"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"|(?<=[=:][ ]?[\"'])(?=[^\"'0-9\s]*+[0-9])[^\"'\s]{8,}(?=[\"'])"
 )
 # Words near secrets, words near other long tokens, path parts of examples, and dictionary words.
 SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?id|sas)"
@@ -164,6 +171,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     plain_word = F.concat(text, word(8), F.lit(" "))
     rest = F.concat(F.lit(" "), word(9), F.lit(" and"))
 
+    letters = F.translate(alnum, "0123456789", "qKxZjVwHbT")
+    named = F.concat(text, pick(32, "password", "passwd", "secret", "db_password", "PASSWORD", "pwd", "token"), sign)
+
     secrets = [
         (F.substring(hexa, 1, 40), assigned, closing),
         (F.substring(hexa, 1, 40), assigned, closing),
@@ -175,6 +185,11 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.substring(alnum, 1, 24), assigned, closing),
         (F.concat(F.lit("eyJ"), F.substring(alnum, 1, 45)), F.concat(text, F.lit("Authorization: Bearer ")), rest),
         (F.concat(F.substring(alnum, 1, 6), pick(13, "!", "#", "_", "-"), F.substring(hexa, 1, 4)), F.concat(text, F.lit("password"), sign, F.lit('"')), F.lit('"')),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), F.concat(plain_word, pick(10, "", "key ", "id=", '"')), rest),
+        (F.concat(F.substring(letters, 1, 8), F.substring(letters, 9, length(33, 2, 16))), F.concat(named, F.lit('"')), F.lit('"')),
+        (F.concat(F.substring(alnum, 1, 3), pick(34, "!", "@", ".", ":", "#"), F.substring(alnum, 4, length(35, 4, 8))), named, rest),
+        (F.concat(F.substring(letters, 1, 5), pick(36, "!", "@", ".", "1", "7"), F.substring(letters, 6, length(37, 3, 8))), named, rest),
+        (F.concat(pick(38, "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n"), b64, b64, pick(39, "", "\n-----END RSA PRIVATE KEY-----")), text, rest),
     ]
     others = [
         (F.substring(digits, 1, 16), plain_word, rest),
@@ -188,6 +203,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(F.lit("v"), F.substring(digits, 1, 1), F.lit("-"), word(25), F.lit("-"), word(26), F.substring(digits, 2, 2)), plain_word, rest),
         (F.concat(word(27), word(28), word(29), F.substring(digits, 1, 2)), plain_word, rest),
         (F.substring(digits, 1, 19), F.concat(text, pick(30, "order ", "card ", "invoice: ", "tracking ", "isbn ")), rest),
+        (F.concat(word(40), pick(41, "", "_", ".", "-"), word(42), pick(43, "", "()", "(" , ".", "/")), named, rest),
+        (F.concat(word(44), F.lit("-"), word(45), F.lit("-"), word(46)), F.concat(named, quote), closing),
+        (pick(47, "required", "undefined", "optional,", "incorrect", "os.environ", "process.env", "<password>", "${PASSWORD}", "********", "function(", "expired."), named, rest),
     ]
 
     def one_of(rows: list, part: int, modulus: int) -> Column:
