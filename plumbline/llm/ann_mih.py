@@ -1,17 +1,19 @@
 """Nearest neighbours by multi-index hashing.
 
 Vectors become binary codes: signs of coordinates after rotations that are learned (iterative quantisation) on a
-bounded sample. A code is split into 16-bit substrings and each substring is indexed by its value. By the pigeonhole
-principle a code within Hamming distance r of the query's has, in at least one of m substrings, at most floor(r / m)
-differing bits; probing all substrings at growing radius therefore finds every code within the radius, the radius grows
-until it holds ``rerank`` codes, and those are ranked by the exact inner product; it is doubled until that brings no
-better neighbour.
+bounded sample. A code is split into 16-bit substrings and each substring has a table from values to rows. By the
+pigeonhole principle a code within Hamming distance m * a + t of the query's has at most a differing bits in one of the
+substrings 0 to t, or fewer than a in one of the m substrings. So the buckets of all values at 0, 1, 2, ... differing
+bits are looked up table by table, and after each table the radius that is known whole is one larger. Distances are
+computed for rows that a bucket has returned, and for no others. The search ends when the whole radius holds ``rerank``
+codes; those are ranked by the exact inner product, and the number wanted is doubled until that brings no better neighbour.
 
 Angles rank as inner products do among vectors of like norm only, so a shard is cut in ranges of norms, each padded to
 its own longest norm and indexed by itself. A range takes no part where not even its longest norm can reach the k-th best.
 
 Spark deals the index into shards and the queries into blocks, each task searches one block in one shard, and the best
-of all shards are merged. Every vector is indexed; only the rotations are fitted on the sample.
+of all shards are merged. Every vector is indexed; only the rotations are fitted on the sample. How many rows the buckets
+return depends on the data: few where neighbours are near, most where all vectors are far from each other (README).
 """
 
 from __future__ import annotations
@@ -23,20 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.storage import table
+from plumbline.storage import materialize, table
 
 K = 20
 #: Bits of a code and of a substring.
-BITS = 512
+BITS = 256
 CHUNK = 16
-#: Codes that the Hamming radius holds at least, per shard, before exact ranking.
-RERANK = 512
+#: Codes that the Hamming radius holds at least, per range of norms, before exact ranking.
+RERANK = 1024
 #: Norms of a range differ by this factor at most, but where the range is reranked whole.
 NORM_RATIO = 1.1
-SHARD_ROWS = 8192
-QUERY_ROWS = 4096
+#: Rows and numbers that a shard holds, and queries that a task asks it, at most (on average).
+SHARD_ROWS = 65_536
+SHARD_VALUES = 1 << 22
+QUERY_ROWS = 512
 #: Vectors that the rotations are fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 4096
+#: By number of bits: all 16-bit values with so many bits set.
+FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(2**CHUNK)) == bits).astype(np.uint16) for bits in range(CHUNK + 1)]
 
 
 def _learn(sample: np.ndarray, bits: int, rounds: int = 12) -> np.ndarray:
@@ -59,45 +65,62 @@ def _codes(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.packbits(vectors @ turn >= 0, axis=1).view(np.uint16)
 
 
-class _SubstringIndex:
-    """One table a substring: its distinct values, and the rows that hold each of them."""
+class SubstringIndex:
+    """One table a substring: the rows of each of its values, side by side, and where each value's rows begin."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.rows = len(codes)
-        self.tables = [np.unique(codes[:, t], return_inverse=True) for t in range(codes.shape[1])]
-
-    def within(self, code: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows of all codes within the least Hamming radius, in steps of the substring radius, that holds ``wanted``.
-
-        A table's values are compared with the query's substring at once, which finds what enumerating all values of
-        the substring radius would, for any radius.
-        """
-        return self.nearest(*self.distances(code), wanted)
-
-    def distances(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's least distance in any substring, and its Hamming distance."""
-        nearest = np.full(self.rows, CHUNK + 1, np.uint8)  # least distance in any substring
-        total = np.zeros(self.rows, np.uint16)
-        for t, (values, where) in enumerate(self.tables):
-            far = np.bitwise_count(values ^ code[t])[where]
-            np.minimum(nearest, far, out=nearest)
-            total += far
-        return nearest, total
-
-    def nearest(self, nearest: np.ndarray, total: np.ndarray, wanted: int) -> np.ndarray:
-        """``within`` for distances that are known."""
-        m = len(self.tables)
-        wanted = min(wanted, self.rows)
-        for radius in range(CHUNK + 1):
-            probed = np.flatnonzero(nearest <= radius)
-            reach = m * (radius + 1) - 1  # every code this near has been probed
-            if len(probed) >= wanted:
-                inside = total[probed]
-                if np.count_nonzero(inside <= reach) >= wanted:
-                    bound = np.partition(inside, wanted - 1)[wanted - 1]
-                    return probed[inside <= bound]
-        return np.arange(self.rows)
+        self.rows, self.tables = codes.shape
+        self.codes = np.ascontiguousarray(codes)
+        self.words = self.codes.view(np.uint64)
+        self.order = np.argsort(self.codes, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.begin = np.zeros((self.tables, 2**CHUNK + 1), np.int32)
+        for t in range(self.tables):
+            np.cumsum(np.bincount(self.codes[:, t], minlength=2**CHUNK), out=self.begin[t, 1:])
+
+    def bucket_rows(self, t: int, values: np.ndarray) -> np.ndarray:
+        """The rows in the buckets of ``values``, which are looked up one by one, of table ``t``."""
+        first = self.begin[t, values]
+        held = self.begin[t, values.astype(np.int32) + 1] - first
+        used = held > 0
+        first, held = first[used], held[used]
+        ends = np.cumsum(held)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + held, held)
+        return self.order[t, at]
+
+
+class Probe:
+    """One query's search of an index, by buckets at growing Hamming radius."""
+
+    def __init__(self, index: SubstringIndex, code: np.ndarray):
+        self.index, self.code = index, code
+        self.word = code.view(np.uint64)
+        self.far = np.full(index.rows, -1, np.int16)  # of the rows that buckets have returned
+        self.held = np.zeros(index.tables * CHUNK + 1, np.int64)  # how many of these by distance
+        self.flips, self.table = 0, 0  # what is probed next
+        self.touched = 0
+
+    def _step(self) -> int:
+        """Probe one table's buckets at ``flips`` differing bits; the radius that is now known whole."""
+        t, a = self.table, self.flips
+        rows = self.index.bucket_rows(t, self.code[t] ^ FLIPS[a])
+        rows = rows[self.far[rows] < 0]
+        far = np.bitwise_count(self.index.words[rows] ^ self.word).sum(axis=1, dtype=np.int16)
+        self.far[rows] = far
+        self.held += np.bincount(far, minlength=len(self.held))
+        self.touched += len(rows)
+        self.table += 1
+        if self.table == self.index.tables:
+            self.flips, self.table = a + 1, 0
+        return self.index.tables * a + t
+
+    def nearest(self, wanted: int) -> np.ndarray:
+        """Rows of all codes within the least Hamming radius that holds ``wanted`` of them."""
+        wanted = min(wanted, self.index.rows)
+        reach = self.index.tables * self.flips + self.table - 1
+        while self.flips <= CHUNK and self.held[: reach + 1].sum() < wanted:
+            reach = self._step()
+        radius = int(np.searchsorted(np.cumsum(self.held), wanted))
+        return np.flatnonzero((self.far >= 0) & (self.far <= radius))
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -134,7 +157,7 @@ def _search(queries: pa.Table, shard: pa.Table, turn: np.ndarray, k: int, rerank
         rerank = max(rerank, k + 1)
         norms, reach = np.sqrt((data**2).sum(axis=1)), np.sqrt((asked**2).sum(axis=1))
         ranges = [
-            (rows, norms[rows].max(), _SubstringIndex(_codes(_padded(data[rows], norms[rows]), turn)) if len(rows) > rerank else None)
+            (rows, norms[rows].max(), SubstringIndex(_codes(_padded(data[rows], norms[rows]), turn)) if len(rows) > rerank else None)
             for rows in _ranges(norms, rerank)
         ]
         codes = _codes(np.column_stack([asked, np.zeros(len(asked))]), turn)
@@ -143,10 +166,10 @@ def _search(queries: pa.Table, shard: pa.Table, turn: np.ndarray, k: int, rerank
             for rows, longest, index in ranges:
                 if len(best) == k and score[-1] > reach[i] * longest * (1 + 1e-9):
                     break
-                far = index.distances(codes[i]) if index else ()
+                probe = Probe(index, codes[i]) if index else None
                 wanted, seen = rerank, np.zeros(0, np.int64)
                 while True:
-                    near = index.nearest(*far, wanted) if index else np.arange(len(rows))
+                    near = probe.nearest(wanted) if probe else np.arange(len(rows))
                     fresh = rows[np.setdiff1d(near, seen, assume_unique=True)]
                     fresh = fresh[ids[fresh] != me]
                     both = np.concatenate([best, fresh])
@@ -198,6 +221,7 @@ def nearest(
     lengths = data.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = lengths["n"] if lengths else 1
     data, asked = (x.where(F.size("vector") == dim) for x in (data, asked))
+    data = materialize(data, "vectors")
     rows, asked_rows = data.count(), asked.count()
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()
     fit = _vectors(sample["vector"]) if sample.num_rows else np.zeros((0, dim))
@@ -206,6 +230,7 @@ def nearest(
     fit = np.concatenate(parts) if parts else np.zeros((0, dim + 1))
     turn = _learn(fit - fit.mean(axis=0) if len(fit) else fit, bits)
 
+    shard_rows = max(1, min(shard_rows, SHARD_VALUES // dim))
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asked_rows / query_rows))
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:

@@ -82,11 +82,46 @@ def test_nearest_pigeonhole_finds_the_whole_radius():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**16, (3000, 8), dtype=np.uint16)
     codes[:40] = codes[40] ^ (1 << rng.integers(0, 16, (40, 8))).astype(np.uint16)
-    index = ann_mih._SubstringIndex(codes)
+    index = ann_mih.SubstringIndex(codes)
     far = np.bitwise_count(codes ^ codes[40]).sum(axis=1)
-    for wanted in (1, 20, 41, 300):
-        got = set(index.within(codes[40], wanted).tolist())
-        assert got == set(np.flatnonzero(far <= np.sort(far)[wanted - 1]).tolist())
+    one = ann_mih.Probe(index, codes[40])
+    for wanted in (1, 20, 41, 300, 3000):
+        got = set(ann_mih.Probe(index, codes[40]).nearest(wanted).tolist())
+        assert got == set(one.nearest(wanted).tolist()) == set(np.flatnonzero(far <= np.sort(far)[wanted - 1]).tolist())
+
+
+def test_nearest_touches_only_what_buckets_return():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2**16, (20_000, 16), dtype=np.uint16)
+    codes[:50] = codes[50]
+    flipped = 1 << rng.integers(0, 16, (50, 4))
+    for i in range(50):  # 4 bits of 256 differ
+        for t, bit in zip(rng.permutation(16)[:4], flipped[i], strict=True):
+            codes[i, t] ^= np.uint16(bit)
+    probe = ann_mih.Probe(ann_mih.SubstringIndex(codes), codes[50])
+    assert set(probe.nearest(51).tolist()) == set(range(51))
+    assert probe.touched == np.count_nonzero(probe.far >= 0) < 100  # of 20,000 rows
+    same = codes[:, :5] == codes[50, :5]  # a radius of 4 needs tables 0 to 4 at most, at no differing bit
+    assert set(np.flatnonzero(probe.far >= 0)) <= set(np.flatnonzero(same.any(axis=1)))
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_nearest_recall_with_few_reranked(spark, kind):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(20_000, 64))
+    if kind == "clustered":
+        data = rng.normal(size=(400, 64))[rng.integers(0, 400, 20_000)] + 0.3 * data
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann_mih.nearest(rows, rows.where("vec_id % 400 = 0"), rerank=400).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in range(0, 20_000, 400):
+        score = data @ data[i]
+        score[i] = -np.inf
+        hits += len(found[i] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (50 * 20) >= 0.9
 
 
 @pytest.mark.parametrize("kind", ["equal", "one_long", "one_very_long", "lognormal"])
