@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import join_per_key
 from plumbline.storage import materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; edges are (u, v) with v < u."""
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u; a hub's edges are not gathered in one task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_per_key(edges, least, "u", "n", total)
+
+
+def _stars(edges: DataFrame, total: int) -> DataFrame:
+    """One large-star and one small-star step; ``edges`` are ``total`` pairs (u, v) with v < u."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
     large = (
-        both.join(least, "u")
+        _with_least(both, 2 * total)
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     )
-    large = large.where("u != v").unionByName(edges.where("false")).distinct()
-    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = materialize(large.where("u != v").distinct(), "stars")
     small = (
-        large.join(down, "u")
+        _with_least(large, total)
         .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
     )
@@ -31,8 +36,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """(node, component) for every node of ``edges``; component is the least node that it is connected with.
 
     Null ends and loops are ignored, repeated and reversed edges count once. Each round is two grouped minima and two
-    joins with them (no neighbour list is ever gathered), cut by a table in the shared folder; the rounds needed grow
-    with the logarithm of the longest path.
+    joins with them (no neighbour list is ever gathered, and a hub's edges stay spread), cut by tables in the shared
+    folder; the rounds needed grow with the logarithm of the longest path.
     """
     a, b = F.col(src), F.col(dst)
     flat = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -41,7 +46,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        flat = materialize(_stars(flat), "components")
+        flat = materialize(_stars(flat, mark[0]), "components")
         now = flat.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
