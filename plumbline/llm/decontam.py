@@ -2,12 +2,16 @@
 
 A seed is a fixed mask over ``SPAN`` consecutive words that ignores some positions, so a window hashes alike although the
 words there were substituted. Windows of the test items and of the training texts are joined on mask and hash; each hit
-fixes an alignment of item and text, and the aligned words around it are compared one by one, substitutions allowed.
+fixes an alignment of item and text. Of hits that follow each other on one alignment the first is kept, and the aligned
+words around it are compared one by one, substitutions allowed. Items of fewer than ``MIN_WORDS`` words have a mask of
+their own length without ignored positions, so they are found by all of their words in a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import let
@@ -16,10 +20,8 @@ from plumbline.storage import table
 
 #: Fixed masks over the words of a window: 1 is hashed, 0 ignored.
 MASKS = ("11010110", "10111001", "11100101", "10011110")
-#: Every STRIDE-th window of an item is hashed, and its last one; texts are hashed at every word.
-STRIDE = 1
 #: An item of at least MIN_WORDS words leaks into a text when, in the aligned overlap, SHARE of the item's words agree,
-#: or RUN words in a row of which at most a fifth differ.
+#: or RUN words in a row of which at most a fifth differ. A shorter one leaks where all of its words stand in a row.
 MIN_WORDS = 8
 SHARE = 0.6
 RUN = 16
@@ -33,12 +35,22 @@ BROADCAST_WINDOWS = 50_000
 SPAN = len(MASKS[0])
 
 
-def _seed(words: Column, at: Column, mask: str, name: int) -> Column:
-    return F.xxhash64(F.lit(name), *(F.get(words, at + i) for i, used in enumerate(mask) if used == "1"))
+def _masks(items: DataFrame) -> list[str]:
+    """The masks for ``items`` (h): the fixed ones, and one for each length of short items."""
+    lengths = items.select(F.least(F.size("h"), F.lit(MIN_WORDS)).alias("n")).distinct().collect()
+    short = sorted(r["n"] for r in lengths if 0 < r["n"] < MIN_WORDS)
+    return [*MASKS, *("1" * n for n in short)]
+
+
+def _seeds(words: Column, at: Column, masks: list[str], fits) -> Column:
+    """(mask, seed) of the window at ``at`` for every mask that ``fits``; none that goes beyond the last word."""
 
+    def one(name: int, mask: str) -> Column:
+        used = [F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"]
+        inside = (at + len(mask) <= F.size(words)) & fits(mask)
+        return F.when(inside, F.struct(F.lit(name).alias("mask"), F.xxhash64(F.lit(mask), *used).alias("seed")))
 
-def _seeds(words: Column, at: Column) -> Column:
-    return F.explode(F.array(*(_seed(words, at, mask, i) for i, mask in enumerate(MASKS))))
+    return F.explode(F.array(*(one(i, mask) for i, mask in enumerate(masks))))
 
 
 def _around(words: Column, first: Column, length: int) -> Column:
@@ -47,38 +59,56 @@ def _around(words: Column, first: Column, length: int) -> Column:
     return F.struct(low.alias("low"), F.slice(words, low + 1, first - low + length + REACH).alias("h"))
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_words, item_at, item_low, words, seed) for every mask and every STRIDE-th window of the items."""
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("h")
-    ).distinct()
-    last = F.size("h") - SPAN
-    windows = items.where(F.size("h") >= MIN_WORDS).select(
-        "item_id", "h", F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(STRIDE)), F.array(last))).alias("item_at")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("h")).distinct()
+
+
+def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+    """(item_id, item_words, item_at, item_low, words, mask, seed) for every mask and every window of ``items`` (item_id, h)."""
+    n = F.size("h")
+    last = F.greatest(n - SPAN, F.lit(0))
+    windows = items.where(n > 0).select("item_id", "h", F.explode(F.sequence(F.lit(0), last)).alias("item_at"))
+    seeds = _seeds(F.col("h"), F.col("item_at"), masks, lambda mask: n >= MIN_WORDS if mask in MASKS else n == len(mask))
+    cut = windows.select("item_id", "item_at", n.alias("item_words"), _around(F.col("h"), F.col("item_at"), SPAN).alias("x"), seeds.alias("s"))
+    return cut.where("s is not null").select(
+        "item_id", "item_words", "item_at", F.col("x.low").alias("item_low"), F.col("x.h").alias("words"), "s.mask", "s.seed"
     )
-    cut = windows.select("item_id", "item_at", F.size("h").alias("item_words"), _around(F.col("h"), F.col("item_at"), SPAN).alias("x"), _seeds(F.col("h"), F.col("item_at")).alias("seed"))
-    return cut.select("item_id", "item_words", "item_at", F.col("x.low").alias("item_low"), F.col("x.h").alias("words"), "seed")
 
 
-def text_pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, low, h): the pieces of every whole text."""
+def text_pieces(docs: DataFrame, shortest: int = SPAN) -> DataFrame:
+    """(doc_id, text_hash, first, low, h): the pieces of every whole text of ``shortest`` words or more."""
 
     def pieces(h):
-        firsts = F.sequence(F.lit(0), F.size(h) - SPAN, F.lit(PIECE))
+        firsts = F.sequence(F.lit(0), F.size(h) - shortest, F.lit(PIECE))
         return F.transform(firsts, lambda i: F.struct(i.alias("first"), _around(h, i, PIECE + SPAN).alias("x")))
 
-    cut = let(word_hashes(F.col("text").cast("string")), lambda h: F.when(F.size(h) >= SPAN, pieces(h)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(cut).alias("piece")).select(
-        "doc_id", "piece.first", F.col("piece.x.low").alias("low"), F.col("piece.x.h").alias("h")
+    text = F.col("text").cast("string")
+    cut = let(word_hashes(text), lambda h: F.when(F.size(h) >= shortest, pieces(h)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(cut).alias("piece")).select(
+        "doc_id", "text_hash", "piece.first", F.col("piece.x.low").alias("low"), F.col("piece.x.h").alias("h")
     )
 
 
-def text_windows(pieces: DataFrame, *columns: str) -> DataFrame:
-    """(columns..., at, seed) for every mask and every window of the pieces."""
+def text_windows(pieces: DataFrame, masks: list[str], *columns: str) -> DataFrame:
+    """(columns..., first, at, mask, seed) for every mask and every window of the pieces."""
     inside = F.col("first") - F.col("low")
-    last = F.least(inside + PIECE - 1, F.size("h") - SPAN)
+    last = F.least(inside + PIECE - 1, F.size("h") - min(map(len, masks)))
     places = pieces.select(*columns, "first", "low", "h", F.explode(F.sequence(inside, last)).alias("place"))
-    return places.select(*columns, (F.col("place") + F.col("low")).alias("at"), _seeds(F.col("h"), F.col("place")).alias("seed"))
+    seeds = _seeds(F.col("h"), F.col("place"), masks, lambda mask: F.lit(True))
+    windows = places.select(*columns, "first", (F.col("place") + F.col("low")).alias("at"), seeds.alias("s"))
+    return windows.where("s is not null").select(*columns, "first", "at", "s.mask", "s.seed")
+
+
+def _first_of_run(masks: list[str]) -> Column:
+    """Whether the windows one word before a hit, in the same piece, are no hit of the same mask."""
+    text, item = F.col("at") - F.col("low") - 1, F.col("item_at") - F.col("item_low") - 1
+
+    def same(mask: str) -> Column:
+        both = [F.get(F.col("h"), text + i) == F.get(F.col("words"), item + i) for i, bit in enumerate(mask) if bit == "1"]
+        return reduce(lambda a, x: a & x, both)
+
+    before = reduce(lambda c, i: c.when(F.col("mask") == i, same(masks[i])), range(1, len(masks)), F.when(F.col("mask") == 0, same(masks[0])))
+    return ~((F.col("item_at") > 0) & (F.col("at") > F.col("first")) & F.coalesce(before, F.lit(False)))
 
 
 def _overlap() -> tuple[Column, Column]:
@@ -110,29 +140,42 @@ def _overlap() -> tuple[Column, Column]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, item_words, run) for each text and item that leaks into it, the best alignment of each.
+    """(doc_id, text_hash, item_id, matched, item_words, run) for each text and item that leaks into it, the best alignment.
 
-    matched counts agreeing words within 64 words of a hit, run those of the best run. Words are lower-cased runs of
-    letters and digits. Items of fewer than 8 words are never reported (they are shorter than a seed); null and empty
-    texts and items leak nothing; rows with a null doc_id or item_id take part; repeated rows count once. Other columns
-    are ignored.
+    matched counts agreeing words within 64 words of a hit that begins a run of hits, run those of the best run there.
+    Words are lower-cased runs of letters and digits, text_hash is xxhash64 of the text. An item of fewer than 8 words is
+    reported where it stands whole and unchanged. Null, empty and wordless texts and items leak nothing; rows with a null
+    doc_id or item_id take part; rows that repeat a doc_id with another text are reported by themselves, repeated rows
+    once, and of items of one id the best counts. Other columns are ignored.
     """
-    seeds = item_seeds(benchmark)
-    pieces = text_pieces(docs)
+    items = _items(benchmark)
+    masks = _masks(items)
+    seeds = item_seeds(items, masks)
+    pieces = text_pieces(docs, min(map(len, masks)))
+    key = ["doc_id", "text_hash"]
     if seeds.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        hits = text_windows(pieces, "doc_id", "low", "h").join(F.broadcast(seeds), "seed")
+        hits = text_windows(pieces, masks, *key, "low", "h").join(F.broadcast(seeds), ["mask", "seed"]).where(_first_of_run(masks))
     else:  # only seeds and places are shuffled by seed, the words follow to the hits
-        found = text_windows(pieces, "doc_id", "first").join(seeds.select("seed", "item_id", "item_at"), "seed").distinct()
-        named = pieces.select(F.col("doc_id").alias("piece_doc"), F.col("first").alias("piece_first"), "low", "h").distinct()
-        wanted = seeds.select(F.col("item_id").alias("wanted_id"), F.col("item_at").alias("wanted_at"), "item_words", "item_low", "words").distinct()
-        hits = found.join(named, F.col("doc_id").eqNullSafe(F.col("piece_doc")) & (F.col("first") == F.col("piece_first"))).join(
-            wanted, F.col("item_id").eqNullSafe(F.col("wanted_id")) & (F.col("item_at") == F.col("wanted_at"))
+        named = seeds.withColumn("item_hash", F.xxhash64("words", "item_low"))
+        found = text_windows(pieces, masks, *key).join(named.select("mask", "seed", "item_id", "item_at", "item_words", "item_hash"), ["mask", "seed"]).drop("seed").distinct()
+        along = Window.partitionBy(*key, "first", "item_id", "item_words", "mask", F.col("at") - F.col("item_at")).orderBy("item_at")
+        found = found.withColumn("before", F.lag("item_at").over(along)).where("before is null or before < item_at - 1")
+        texts = pieces.select(*(F.col(c).alias(f"own_{c}") for c in key), F.col("first").alias("own_first"), "low", "h").distinct()
+        wanted = named.select(F.col("item_id").alias("own_item"), F.col("item_at").alias("own_at"), F.col("item_hash").alias("own_hash"), "item_low", "words").distinct()
+        hits = found.join(
+            texts,
+            F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("text_hash") == F.col("own_text_hash")) & (F.col("first") == F.col("own_first")),
+        ).join(
+            wanted,
+            F.col("item_id").eqNullSafe(F.col("own_item")) & (F.col("item_at") == F.col("own_at")) & (F.col("item_hash") == F.col("own_hash")),
         )
     matched, run = _overlap()
     # The tests come after the maxima: as a join condition they would keep the join out of generated code.
-    best = hits.select("doc_id", "item_id", "item_words", matched.alias("matched"), run.alias("run")).groupBy("doc_id", "item_id")
-    best = best.agg(*(F.max(c).cast("long").alias(c) for c in ("matched", "item_words", "run")))
-    return best.where((F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN))
+    best = hits.select(*key, "item_id", "item_words", matched.alias("matched"), run.alias("run")).groupBy(*key, "item_id", "item_words")
+    best = best.agg(*(F.max(c).cast("long").alias(c) for c in ("matched", "run"))).withColumn("item_words", F.col("item_words").cast("long"))
+    enough = (F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN)
+    found = best.where(F.when(F.col("item_words") < MIN_WORDS, F.col("matched") == F.col("item_words")).otherwise(enough))
+    return found.groupBy(*key, "item_id").agg(*(F.max(c).alias(c) for c in ("matched", "item_words", "run")))
 
 
 def op9_benchmark_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import spans as spans_of
 from plumbline.storage import materialize, table
 
 TREES, DEPTH = 40, 9
@@ -76,22 +77,23 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, path_column: str = "source") -> DataFrame:
-    """(doc_id, start, end, candidate, before, after, path) for every candidate of every whole text."""
+    """(doc_id, text_hash, start, end, candidate, before, after, path) for every candidate of every whole text."""
     path = F.col(path_column).cast("string") if path_column in docs.columns else F.lit("")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(path, F.lit("")).alias("path"),
-    ).withColumn("found", F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)))
+    ).withColumn("text_hash", F.xxhash64("text")).withColumn("found", F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)))
     rows = rows.where(F.size("found") > 0).withColumn("parts", F.split("text", CANDIDATE, -1))
     # Offsets: the lengths of all parts and candidates before.
     pieces = F.transform("found", lambda c, i: F.length(F.get(F.col("parts"), i)) + F.length(c))
-    one = rows.select("doc_id", "path", "found", "parts", pieces.alias("pieces"), F.posexplode("found").alias("k", "candidate"))
+    one = rows.select("doc_id", "text_hash", "path", "found", "parts", pieces.alias("pieces"), F.posexplode("found").alias("k", "candidate"))
     start = F.aggregate(F.slice("pieces", 1, F.col("k")), F.lit(0), lambda a, x: a + x) + F.length(F.get("parts", F.col("k")))
     before = F.get("parts", F.col("k"))
     after = F.get("parts", F.col("k") + 1)
     return one.select(
         "doc_id",
+        "text_hash",
         start.cast("long").alias("start"),
         (start + F.length("candidate")).cast("long").alias("end"),
         "candidate",
@@ -231,28 +233,34 @@ def train(labelled: DataFrame):
 
 
 def secrets(docs: DataFrame, path_column: str = "source", labelled: DataFrame | None = None, cut: float = CUT) -> DataFrame:
-    """(doc_id, start, end, score, sha256) of every finding that the forest keeps.
+    """(doc_id, text_hash, start, end, score, sha256) of every finding that the forest keeps.
 
-    Offsets are characters of the whole text; the secret itself is not in the result, its SHA-256 is. Null and empty
-    texts have no findings, a null or missing path counts as empty, rows with a null doc_id are scanned like others,
-    repeated rows give repeated findings. Other columns are ignored.
+    Offsets are characters of the whole text, text_hash is its xxhash64; the secret itself is not in the result, its
+    SHA-256 is. Null and empty texts have no findings, a null or missing path counts as empty, rows with a null doc_id are
+    scanned like others, repeated rows give repeated findings. Other columns are ignored.
     """
     forest = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
-    found = features(candidates(docs, path_column)).select("doc_id", "start", "end", F.sha2("candidate", 256).alias("sha256"), *FEATURES)
+    found = features(candidates(docs, path_column))
+    found = found.select("doc_id", "text_hash", "start", "end", F.sha2("candidate", 256).alias("sha256"), *FEATURES)
     packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
     scored = forest.transform(packed).withColumn("score", vector_to_array("probability")[1])
-    return scored.where(F.col("score") >= cut).select("doc_id", "start", "end", "score", "sha256")
+    return scored.where(F.col("score") >= cut).select("doc_id", "text_hash", "start", "end", "score", "sha256")
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with every finding replaced; texts without findings are unchanged. doc_id tells rows apart."""
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("secret_spans"))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("secret_spans.end"))
-    starts = F.concat(F.col("secret_spans.start"), F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int")))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "secret_doc").hint("merge"), F.col("doc_id").eqNullSafe(F.col("secret_doc")), "left")
-    text = F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, REDACTED))
-    return joined.withColumn("text", text).select(*docs.columns)
+    """``docs`` with every finding (doc_id, text_hash, start, end) replaced, overlapping ones by one mark.
+
+    doc_id and text together tell rows apart, so rows that repeat a doc_id lose their own findings only, and rows without
+    a doc_id theirs. Texts without findings and all other columns, whatever their names, are unchanged.
+    """
+    spans = spans_of.merged(found, ["doc_id", "text_hash"]).hint("merge")
+    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_hash"), "spans")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("key_doc"), F.xxhash64(F.col("row.text").cast("string")).alias("key_hash"))
+    same = F.col("key_doc").eqNullSafe(F.col("span_doc")) & (F.col("key_hash") == F.col("span_hash"))
+    text = F.col("row.text").cast("string")
+    text = F.when(F.col("spans").isNull(), text).otherwise(spans_of.without(text, F.col("spans"), REDACTED))
+    return rows.join(spans, same, "left").select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
