@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages, each an operator of plumbline.llm applied to what the stage before it kept.
 
 1. quality: documents that the factorisation machine rejects go.
-2. near_duplicates: of every class of documents linked at five words and similarity 0.8 the least doc_id stays.
+2. near_duplicates: of every class of documents linked at five words and similarity 0.8 the first document stays.
 3. decontamination: documents that a benchmark item leaks into go.
 4. secrets: findings are replaced in the texts; no document goes, n_chars follows the text.
 5. tokens: what is left is encoded and decoded; one row per document.
 
-All stages but the last return the columns of ``documents``. doc_id is the key that ties the decisions of stages 2 to 4
-to rows: rows that repeat a doc_id share its decision, and rows without one are judged by stage 1 only.
+All stages but the last return the columns of ``documents``. doc_id and text together are the key that ties the
+decisions of stages 2 to 4 to rows: rows that repeat a doc_id with another text, and rows without a doc_id, are documents
+of their own. Rows with equal doc_id and text are copies, of which stage 2 keeps one; rows whose texts hold no word are
+no copies of each other. Further columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -27,18 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
 
 
+def _by_row(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` with their key (rid, text_hash), semi- or anti-joined with rows of (doc_id, text_hash)."""
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(ngram_join.NO_ID)).alias("rid")
+    keys = keys.select(rid, "text_hash").distinct().hint("merge")
+    return docs.select(*COLUMNS, rid, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).join(keys, ["rid", "text_hash"], how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each class of near-duplicates."""
-    classes = ngram_join.jaccard_links(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").withColumn("text_hash", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+    """Keep the first document of each class of near-duplicates: the least doc_id (null last), then text_hash."""
+    heads = materialize(ngram_join.jaccard_links(docs).where("head"), "heads")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[\p{L}\p{N}]")
+    kept = _by_row(docs, heads, "left_semi").withColumn("solo", F.when(wordless, F.monotonically_increasing_id()))
+    # Of repeated rows the first in the order of their columns.
+    first = kept.groupBy("rid", "text_hash", "solo").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return first.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents into which no benchmark item leaks."""
-    gone = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return _by_row(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
