@@ -3,8 +3,8 @@
 Units are the lines of a text, cut further where their own words say so: before a word whose hash (with the next word's)
 is least among its neighbours. Such cuts depend on a few words only, so a passage set in the middle of a longer line has
 the same units inside as everywhere else. Units are normalised (lower case, white space between words as one blank) and
-hashed, digests are grouped globally, the earliest occurrence, ranked by doc_id and then by place, is kept and all others
-are removed where they make up a passage of ``MIN_WORDS`` words in a row. Whole lines have digests of their own: all
+hashed, digests are grouped globally, the earliest occurrence, ranked by doc_id (null last), then by row and place, is kept
+and all others are removed where they make up a passage of ``MIN_WORDS`` words in a row. Whole lines have digests of their own: all
 occurrences of a line but the earliest are removed from ``LINE_WORDS`` words on. Removed passages keep their offsets in the
 original text, so a cleaned text can be rebuilt, or the removal undone, at any time.
 """
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.spans import merged, without
+from plumbline.operators.skew import join_per_key
 from plumbline.storage import materialize, table
 
 #: Words in a row that a repeated passage inside lines has at least.
@@ -25,7 +27,7 @@ LINE_WORDS = 5
 #: A line is cut before a word whose hash is least among so many words on either side.
 REACH = 3
 CHUNK_CHARS = 1_000_000
-UNITS = "doc_id long, unit int, last int, whole boolean, start long, end long, words int, again boolean, digest long"
+UNITS = "row long, doc_id long, unit int, last int, whole boolean, start long, end long, words int, again boolean, digest long"
 NO_ID = 2**63 - 1
 
 
@@ -97,7 +99,7 @@ def _cut(texts: list[str], reach: int):
 
 def _units(batches, reach: int, line_words: int):
     for batch in batches:
-        keys, column = batch.column(0), batch.column(1)
+        rows, keys, column = batch.columns
         first = 0
         while first < batch.num_rows:
             texts, held = [], 0
@@ -117,6 +119,7 @@ def _units(batches, reach: int, line_words: int):
             again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
             yield pa.RecordBatch.from_arrays(
                 [
+                    rows.slice(first, len(texts)).take(pa.array(owner)),
                     keys.slice(first, len(texts)).take(pa.array(owner)),
                     pa.array(unit.astype(np.int32)),
                     pa.array(last.astype(np.int32)),
@@ -127,43 +130,35 @@ def _units(batches, reach: int, line_words: int):
                     pa.array(again),
                     pa.array(digest),
                 ],
-                names=["doc_id", "unit", "last", "whole", "start", "end", "words", "again", "digest"],
+                names=["row", "doc_id", "unit", "last", "whole", "start", "end", "words", "again", "digest"],
             )
             first += len(texts)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH, line_words: int = LINE_WORDS) -> DataFrame:
-    """One row per removed passage: (doc_id, start, end, words, units, kept_doc_id).
-
-    start and end are character offsets in the original text; a passage is a run of adjacent units, each of which occurs
-    earlier (in a smaller doc_id, or before in the same text), of at least ``min_words`` words together, or a line of at
-    least ``line_words`` words that occurs earlier as a line. kept_doc_id is the least doc_id that keeps one of its units. Rows with a null doc_id rank last, and count as one text; rows that
-    repeat a doc_id are one occurrence. Null, empty and blank texts lose nothing. Other columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _passages(rows: DataFrame, min_words: int, reach: int, line_words: int) -> DataFrame:
+    """(row, doc_id, start, end, words, units, kept_doc_id) of ``rows`` (row, doc_id, text), each with a number of its own."""
     units = materialize(rows.mapInArrow(lambda batches: _units(batches, reach, line_words), UNITS), "units")
     units = units.withColumn("ranked", F.coalesce("doc_id", F.lit(NO_ID)))
     # Minima combine before the shuffle, so a unit that a third of all rows share costs one row a task.
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min("ranked").alias("kept")).where("n > 1")
-    # The repeated digests grow with the documents, so they are shuffled at every size.
-    later = (
-        units.join(first.select("digest", "kept").hint("merge"), "digest")
-        .where("again or ranked != kept")
-        .groupBy("ranked", "unit", "last", "whole", "start", "end", "words")
-        .agg(F.min("kept").alias("kept"))
-    )
+    met = materialize(join_per_key(units, first, "digest", "n", units.count()), "met")
+    # Rows of one doc_id, and those without one, rank by their number.
+    least = met.where("ranked = kept and not again")
+    tied = least.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("owner")).where("n > 1")
+    behind = join_per_key(least, tied, "digest", "n", met.count()).where("row != owner").drop("owner")
+    later = met.where("again or ranked != kept").unionByName(behind)
     # A line comes before its units, which add nothing to it.
-    along = Window.partitionBy("ranked").orderBy("unit", F.desc("whole"), "start")
+    along = Window.partitionBy("row").orderBy("unit", F.desc("whole"), "start")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("last").over(before), F.lit(-2))
     lined = F.coalesce(F.max(F.when(F.col("whole"), F.col("last"))).over(before), F.lit(-1))
     runs = later.withColumns({"new": (F.col("unit") - reached > 1).cast("int"), "own": (F.col("whole") | (F.col("last") > lined)).cast("int")})
     runs = runs.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    long = F.sum(F.col("words") * F.col("own")).over(Window.partitionBy("ranked", "run")) >= min_words
+    long = F.sum(F.col("words") * F.col("own")).over(Window.partitionBy("row", "run")) >= min_words
     return (
         runs.withColumn("line", F.when(long, -1).when(F.col("whole"), F.col("unit")))
         .where("line is not null")
-        .groupBy("ranked", "run", "line")
+        .groupBy("row", "doc_id", "run", "line")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -171,26 +166,38 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int =
             F.sum((F.col("last") - F.col("unit") + 1) * F.col("own")).alias("units"),
             F.min("kept").alias("kept"),
         )
-        .select(
-            F.nullif(F.col("ranked"), F.lit(NO_ID)).alias("doc_id"),
-            "start",
-            "end",
-            "words",
-            "units",
-            F.nullif(F.col("kept"), F.lit(NO_ID)).alias("kept_doc_id"),
-        )
+        .select("row", "doc_id", "start", "end", "words", "units", F.nullif(F.col("kept"), F.lit(NO_ID)).alias("kept_doc_id"))
     )
 
 
-def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of their texts, and their original offsets as ``removed_spans``."""
-    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("removed_spans.end"))
-    starts = F.concat(F.col("removed_spans.start"), F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int")))
-    return docs.join(spans, "doc_id", "left").withColumn(
-        "text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    )
+def _key(column: str, kind: str) -> Column:
+    return F.col(column).cast(kind).alias(column.rpartition(".")[2])
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH, line_words: int = LINE_WORDS) -> DataFrame:
+    """One row per removed passage: (doc_id, start, end, words, units, kept_doc_id).
+
+    start and end are character offsets in the original text; a passage is a run of adjacent units, each of which occurs
+    earlier (in a smaller doc_id, or before in the same text), of at least ``min_words`` words together, or a line of at
+    least ``line_words`` words that occurs earlier as a line. kept_doc_id is the least doc_id that keeps one of its units.
+    Every row is a text of its own: rows that repeat a doc_id, or have none (these rank last), rank among themselves in
+    the order in which they are read, so of equal rows one is kept. Null, empty and blank texts lose nothing. Other
+    columns are ignored.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _key("doc_id", "long"), _key("text", "string"))
+    return _passages(rows, min_words, reach, line_words).drop("row")
+
+
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH, line_words: int = LINE_WORDS) -> DataFrame:
+    """``docs`` without the passages of ``repeated_passages``, each row without its own, and their offsets in the original
+    text as ``removed_spans`` (null where nothing goes), which takes the place of a column of that name."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("held")), "rows")
+    numbered = rows.select(F.col("number").alias("row"), _key("held.doc_id", "long"), _key("held.text", "string"))
+    spans = merged(_passages(numbered, min_words, reach, line_words), ["row"]).withColumnRenamed("row", "span_row")
+    text = F.col("held.text").cast("string")
+    text = F.when(F.col("spans").isNull(), text).otherwise(without(text, F.col("spans"), ""))
+    joined = rows.join(spans.hint("merge"), F.col("number") == F.col("span_row"), "left")
+    return joined.select(F.col("held").withField("text", text).withField("removed_spans", F.col("spans")).alias("held")).select("held.*")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
