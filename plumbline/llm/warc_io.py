@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import join_per_key
 from plumbline.storage import scratch_path, table
 
 #: Records of equal payloads at least so long are stored once and revisited.
@@ -30,9 +31,11 @@ MAGIC = b"\x1f\x8b\x08"
 
 
 def _open(path: str):
-    """(filesystem, path in it) for a URI or a plain path."""
+    """(filesystem, path in it) for a URI or a plain path; the names that Hadoop has for S3 are read as s3."""
     from pyarrow import fs
 
+    scheme, mark, rest = path.partition("://")
+    path = f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -45,8 +48,12 @@ def _line(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in value)
 
 
+def _digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def _record(page_id, url, payload: bytes, revisit, refers_to) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     name = uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} {digest} {url}")
@@ -104,10 +111,11 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVIS
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")
     ).withColumn("digest", F.sha1("html"))
     held = F.octet_length("html") >= min_revisit_bytes
-    first = (
-        rows.where(held).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    )
-    rows = rows.join(first.select("digest", "refers_to"), "digest", "left")
+    first = rows.where(held).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    # A payload that many pages share is looked up where its pages are; they are not gathered in one task.
+    total = pages.count()
+    known = join_per_key(rows.where(held), first, "digest", "n", total)
+    rows = known.unionByName(rows.where(~held).withColumn("refers_to", F.lit(None).cast("long")))
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     rows = rows.select("page_id", "url", "html", "refers_to", revisit.alias("revisit"))
     files, root = _open(folder)
@@ -200,7 +208,7 @@ def _read_range(path: str, start: int, end: int):
 
 COLUMNS = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "payload binary, path string, record_offset long"
+    "payload binary, path string, record_offset long, intact boolean"
 )
 
 
@@ -211,17 +219,24 @@ def _read(batches):
             for fields, http, payload, offset in _read_range(path, int(start), int(end)):
                 page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                 kind = fields.get("warc-type")
+                stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                size, digest, intact = len(payload), _digest(payload), None
+                if kind == "revisit":  # the payload is elsewhere; what the writer knew of it
+                    size, digest = int(http.get("content-length", 0)), stated
+                else:
+                    intact = digest == stated and size == int(http.get("content-length", size))
                 rows.append(
                     (
                         None if page is None else int(page),
                         fields.get("warc-target-uri"),
-                        int(http.get("content-length", len(payload))),
-                        fields.get("warc-payload-digest", "").removeprefix("sha1:"),
+                        size,
+                        digest,
                         kind,
                         None if refers is None else int(refers),
                         None if kind == "revisit" else payload,
                         path,
                         offset,
+                        intact,
                     )
                 )
                 held += len(payload)
@@ -243,8 +258,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of ``archives`` (path, bytes), by tasks that own ``split_bytes`` of a file each.
 
-    Bytes that are no WARC record are passed over; an empty archive gives no rows. payload is null for revisits;
-    payload_bytes and payload_digest are those of the full payload either way.
+    Bytes that are no WARC record are passed over; an empty archive gives no rows. payload_bytes and payload_digest
+    are counted from a response's payload, and ``intact`` says whether its headers agree; for a revisit they are those that
+    its headers give for the full payload, payload and ``intact`` are null.
     """
     ranges = archives.select(
         "path",
