@@ -1,8 +1,8 @@
 """Secret scan: patterns propose candidates, a random forest removes false positives. DataFrame operations alone.
 
-Candidates are runs of key characters with a digit, runs behind a known prefix, values after a secret word and an
-assignment sign, other quoted values with a digit after such a sign, and key blocks, whole or without their end. Cutting a
-text at its candidates gives every candidate its exact offsets and its neighbouring words in one pass each. The forest
+Candidates are all runs of 16 or more key characters, shorter runs behind a known prefix, values after a secret word and
+an assignment sign, other quoted values after such a sign, and key blocks, whole or without their end. What they are made
+of (digits, letters, words) is for the forest to weigh. Cutting a text at its candidates gives every candidate its exact offsets and its neighbouring words in one pass each. The forest
 looks at a candidate's length, character transitions, coverage by dictionary words, the path that the text comes from
 and the neighbouring words; it is trained on labelled findings.
 """
@@ -27,7 +27,7 @@ FINDINGS = 6000
 CONTEXT = 64
 REDACTED = "[SECRET]"
 # What may be a secret.
-ASSIGNED = r"(?i:token|secret|passw|passwd|password|passphrase|pwd|(?:api|access|secret|private|auth).?key|auth|credentials?)[\"']?\s{0,2}:?[=:]\s{0,2}"
+ASSIGNED = r"(?i:token|secret|passw|passwd|password|passphrase|pwd|(?:api|access|account|secret|private|auth).?key|auth|credentials?)[\"']?\s{0,2}:?[=:]\s{0,2}"
 KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,9}(?:[A-Za-z][A-Za-z0-9-]{1,30}: [^\n]{0,200}\n\s{0,9}){0,9}"
 CANDIDATE = (
     KEY_BLOCK + r"[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
@@ -35,11 +35,11 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9+/_-])(?:AKIA|ASIA|gh[posru]_|github_pat_|sk-|[sr]k_live_|xox[abprs]-|glpat-|AIza|ya29\.|eyJ|SG\.|npm_)[A-Za-z0-9+/_-]{12,}+={0,2}"
     r"|(?<=[\"'])(?<=" + ASSIGNED + r"[\"'])[^\"'\s]{8,}+(?=[\"'])"
     r"|(?<=[=:]\s{0,2})(?<=" + ASSIGNED + r")(?![=:\s])[^\"'\s]{7,}[^\"'\s,;.)]"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-    r"|(?<=[=:][ ]?[\"'])(?=[^\"'0-9\s]*+[0-9])[^\"'\s]{8,}(?=[\"'])"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"|(?<=[=:][ ]?[\"'])[^\"'\s]{8,}(?=[\"'])"
 )
 # Words near secrets, words near other long tokens, path parts of examples, and dictionary words.
-SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?id|sas)"
+SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|account.?key|auth|bearer|credential|private.?key|client.?id|sas)"
 OTHER_WORDS = r"(?i)(commit|sha|md5|checksum|hash|digest|uuid|guid|version|build|card|phone|order|invoice|isbn|id\b|ref|url|http|www|path|file|image|tracking|serial)"
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc|readme|demo)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|your|xxxx|changeme|placeholder|test|foo|redacted|0123456789|12345678|abcdef)"
@@ -146,10 +146,11 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """(candidate, before, after, path, label): made findings, half secrets in the wild's formats, half look-alikes.
+    """(candidate, before, after, path, label, format): made findings, half secrets in the wild's formats, half look-alikes.
 
-    Random characters come from hashes of the row number, so the set is the same everywhere. Reviewed findings of one's
-    own, in these columns, can be given to ``train`` instead or besides.
+    Random characters come from hashes of the row number, so the set is the same everywhere. ``format`` numbers the
+    formats of each label, so that some can be held out to measure a forest on formats that it has not seen. Reviewed
+    findings of one's own, in the first five columns, can be given to ``train`` instead or besides.
     """
     base = spark.range(rows).select("id")
 
@@ -173,6 +174,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     plain_word = F.concat(text, word(8), F.lit(" "))
     rest = F.concat(F.lit(" "), word(9), F.lit(" and"))
 
+    # Words that no dictionary has, as long words of many languages look.
+    syllable = lambda salt: pick(salt, "the", "ein", "keit", "tion", "che", "ar", "ing", "mente", "que", "ber", "schaft", "on", "re", "les", "and", "lich", "er", "heit", "an", "sto")
+    syllables = F.concat(syllable(71), syllable(72), syllable(73), syllable(74), syllable(75), pick(76, "ungen", "schaften", "ingness", "amiento"))
     letters = F.translate(alnum, "0123456789", "qKxZjVwHbT")
     named = F.concat(text, pick(32, "password", "passwd", "secret", "db_password", "PASSWORD", "pwd", "token"), sign)
 
@@ -191,6 +195,12 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(F.substring(letters, 1, 8), F.substring(letters, 9, length(33, 2, 16))), F.concat(named, F.lit('"')), F.lit('"')),
         (F.concat(F.substring(alnum, 1, 3), pick(34, "!", "@", ".", ":", "#"), F.substring(alnum, 4, length(35, 4, 8))), named, rest),
         (F.concat(F.substring(letters, 1, 5), pick(36, "!", "@", ".", "1", "7"), F.substring(letters, 6, length(37, 3, 8))), named, rest),
+        (F.concat(word(48), F.substring(digits, 1, length(49, 1, 4)), pick(50, "!", "#", "$", "?", "")), named, rest),
+        (F.concat(word(51), F.lit("er"), F.substring(digits, 2, length(52, 1, 3)), pick(53, "!", "#", "*")), F.concat(named, F.lit('"')), F.lit('"')),
+        (F.concat(word(54), word(55), word(56), pick(57, "", "s", "7")), named, rest),
+        (F.concat(F.substring(letters, 1, length(77, 24, 50)), F.substring(alnum, 1, length(78, 1, 24))), F.concat(text, pick(79, "key ", "token is ", "secret ", "the api key ", "password ")), rest),
+        (F.concat(b64, F.lit("==")), F.concat(text, pick(80, "AccountKey=", "SharedAccessKey=", "access_key: ")), rest),
+        (F.substring(letters, 1, length(58, 28, 44)), F.concat(text, key, sign, F.lit('"')), F.lit('"')),
         (F.concat(pick(38, "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n"), b64, b64, pick(39, "", "\n-----END RSA PRIVATE KEY-----")), text, rest),
     ]
     others = [
@@ -207,6 +217,10 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.substring(digits, 1, 19), F.concat(text, pick(30, "order ", "card ", "invoice: ", "tracking ", "isbn ")), rest),
         (F.concat(word(40), pick(41, "", "_", ".", "-"), word(42), pick(43, "", "()", "(" , ".", "/")), named, rest),
         (F.concat(word(44), F.lit("-"), word(45), F.lit("-"), word(46)), F.concat(named, quote), closing),
+        (syllables, pick(59, "the ", "und ", "de la ", " ", ", ", ". ", "\n", "$$$ ", "| "), pick(60, " and", ", the", ". ", " |", "!! ", "\n", "&&& ")),
+        (F.initcap(syllables), pick(61, ". ", "und ", "\n", "der ", "? "), pick(62, " is", ", ", ". ", "\n")),
+        (F.array_join(F.array(word(64), word(65), word(66), word(67)), "/"), F.concat(text, pick(68, "see ", "www.site.org/", "the ", "in ")), rest),
+        (F.concat(F.lit("sha256-"), b64), F.concat(text, pick(69, 'integrity="', "checksum ", "digest: ")), pick(70, '"', " ")),
         (pick(47, "required", "undefined", "optional,", "incorrect", "os.environ", "process.env", "<password>", "${PASSWORD}", "********", "function(", "expired."), named, rest),
     ]
 
@@ -214,14 +228,14 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         at = F.floor(F.col("id") / 2) % modulus
         return reduce(lambda c, i: c.when(at == i, rows[i][part]), range(1, modulus), F.when(at == 0, rows[0][part]))
 
-    made = base.withColumn("h", hexa)
-    secret = F.col("id") % 2 == 0
-    columns = [
-        F.when(secret, one_of(secrets, i, len(secrets))).otherwise(one_of(others, i, len(others))).alias(name)
-        for i, name in enumerate(("candidate", "before", "after"))
-    ]
     path = pick(31, "src/main.py", "conf/app.ini", "web/index.html", "notes.txt", "src0", "src7", "tests/fixtures.py", "docs/readme.md")
-    return made.select(*columns, path.alias("path"), secret.cast("double").alias("label"))
+
+    def made(formats: list, label: int) -> DataFrame:
+        rows = base.where(F.col("id") % 2 == 1 - label).withColumn("h", hexa)
+        columns = [one_of(formats, i, len(formats)).alias(name) for i, name in enumerate(("candidate", "before", "after"))]
+        return rows.select(*columns, path.alias("path"), F.lit(float(label)).alias("label"), (F.floor(F.col("id") / 2) % len(formats)).alias("format"))
+
+    return made(secrets, 1).unionByName(made(others, 0))
 
 
 def train(labelled: DataFrame):
@@ -232,6 +246,12 @@ def train(labelled: DataFrame):
     return forest.fit(materialize(packed, "findings"))
 
 
+def scored(found: DataFrame, forest) -> DataFrame:
+    """``found`` with the forest's figures and its ``score``, the probability of a secret."""
+    packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
+    return forest.transform(packed).withColumn("score", vector_to_array("probability")[1])
+
+
 def secrets(docs: DataFrame, path_column: str = "source", labelled: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """(doc_id, text_hash, start, end, score, sha256) of every finding that the forest keeps.
 
@@ -242,9 +262,7 @@ def secrets(docs: DataFrame, path_column: str = "source", labelled: DataFrame |
     forest = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
     found = features(candidates(docs, path_column))
     found = found.select("doc_id", "text_hash", "start", "end", F.sha2("candidate", 256).alias("sha256"), *FEATURES)
-    packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
-    scored = forest.transform(packed).withColumn("score", vector_to_array("probability")[1])
-    return scored.where(F.col("score") >= cut).select("doc_id", "text_hash", "start", "end", "score", "sha256")
+    return scored(found, forest).where(F.col("score") >= cut).select("doc_id", "text_hash", "start", "end", "score", "sha256")
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
