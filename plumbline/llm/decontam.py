@@ -9,8 +9,6 @@ their own length without ignored positions, so they are found by all of their wo
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +33,16 @@ BROADCAST_WINDOWS = 50_000
 SPAN = len(MASKS[0])
 
 
-def _masks(items: DataFrame) -> list[str]:
-    """The masks for ``items`` (h): the fixed ones, and one for each length of short items."""
-    lengths = items.select(F.least(F.size("h"), F.lit(MIN_WORDS)).alias("n")).distinct().collect()
-    short = sorted(r["n"] for r in lengths if 0 < r["n"] < MIN_WORDS)
-    return [*MASKS, *("1" * n for n in short)]
-
+def _short_lengths(items: DataFrame) -> list[int]:
+    """Numbers of words of the items that have fewer than MIN_WORDS."""
+    found = items.select(F.size("h").alias("n")).where((F.col("n") > 0) & (F.col("n") < MIN_WORDS)).distinct().collect()
+    return sorted(r["n"] for r in found)
 
-def _seeds(words: Column, at: Column, masks: list[str], fits) -> Column:
-    """(mask, seed) of the window at ``at`` for every mask that ``fits``; none that goes beyond the last word."""
 
-    def one(name: int, mask: str) -> Column:
-        used = [F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"]
-        inside = (at + len(mask) <= F.size(words)) & fits(mask)
-        return F.when(inside, F.struct(F.lit(name).alias("mask"), F.xxhash64(F.lit(mask), *used).alias("seed")))
-
-    return F.explode(F.array(*(one(i, mask) for i, mask in enumerate(masks))))
+def _seeds(words: Column, at: Column, masks: list[str]) -> Column:
+    """The seeds of the window at ``at``, one a mask, in their order."""
+    used = lambda mask: [F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"]
+    return F.array(*(F.xxhash64(F.lit(mask), *used(mask)) for mask in masks))
 
 
 def _around(words: Column, first: Column, length: int) -> Column:
@@ -64,15 +56,15 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    """(item_id, item_words, item_at, item_low, words, mask, seed) for every mask and every window of ``items`` (item_id, h)."""
-    n = F.size("h")
-    last = F.greatest(n - SPAN, F.lit(0))
-    windows = items.where(n > 0).select("item_id", "h", F.explode(F.sequence(F.lit(0), last)).alias("item_at"))
-    seeds = _seeds(F.col("h"), F.col("item_at"), masks, lambda mask: n >= MIN_WORDS if mask in MASKS else n == len(mask))
-    cut = windows.select("item_id", "item_at", n.alias("item_words"), _around(F.col("h"), F.col("item_at"), SPAN).alias("x"), seeds.alias("s"))
-    return cut.where("s is not null").select(
-        "item_id", "item_words", "item_at", F.col("x.low").alias("item_low"), F.col("x.h").alias("words"), "s.mask", "s.seed"
-    )
+    """(item_id, item_words, item_at, item_low, words, mask, seed) for every mask and every window of ``items`` (item_id, h).
+
+    ``masks`` are all of one length, and the items have as many words or more.
+    """
+    windows = items.select("item_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - len(masks[0]))).alias("item_at"))
+    around = _around(F.col("h"), F.col("item_at"), SPAN)
+    seeds = F.posexplode(_seeds(F.col("h"), F.col("item_at"), masks)).alias("mask", "seed")
+    cut = windows.select("item_id", "item_at", F.size("h").alias("item_words"), around.alias("x"), seeds)
+    return cut.select("item_id", "item_words", "item_at", F.col("x.low").alias("item_low"), F.col("x.h").alias("words"), "mask", "seed")
 
 
 def text_pieces(docs: DataFrame, shortest: int = SPAN) -> DataFrame:
@@ -90,29 +82,25 @@ def text_pieces(docs: DataFrame, shortest: int = SPAN) -> DataFrame:
 
 
 def text_windows(pieces: DataFrame, masks: list[str], *columns: str) -> DataFrame:
-    """(columns..., first, at, mask, seed) for every mask and every window of the pieces."""
+    """(columns..., first, at, seed) for every mask, all of one length, and every window of the pieces; a seed tells its mask."""
     inside = F.col("first") - F.col("low")
-    last = F.least(inside + PIECE - 1, F.size("h") - min(map(len, masks)))
-    places = pieces.select(*columns, "first", "low", "h", F.explode(F.sequence(inside, last)).alias("place"))
-    seeds = _seeds(F.col("h"), F.col("place"), masks, lambda mask: F.lit(True))
-    windows = places.select(*columns, "first", (F.col("place") + F.col("low")).alias("at"), seeds.alias("s"))
-    return windows.where("s is not null").select(*columns, "first", "at", "s.mask", "s.seed")
+    last = F.least(inside + PIECE - 1, F.size("h") - len(masks[0]))
+    places = pieces.select(*columns, "first", "low", "h", F.explode(F.when(inside <= last, F.sequence(inside, last))).alias("place"))
+    seeds = F.explode(_seeds(F.col("h"), F.col("place"), masks))
+    return places.select(*columns, "first", (F.col("place") + F.col("low")).alias("at"), seeds.alias("seed"))
 
 
 def _first_of_run(masks: list[str]) -> Column:
     """Whether the windows one word before a hit, in the same piece, are no hit of the same mask."""
     text, item = F.col("at") - F.col("low") - 1, F.col("item_at") - F.col("item_low") - 1
-
-    def same(mask: str) -> Column:
-        both = [F.get(F.col("h"), text + i) == F.get(F.col("words"), item + i) for i, bit in enumerate(mask) if bit == "1"]
-        return reduce(lambda a, x: a & x, both)
-
-    before = reduce(lambda c, i: c.when(F.col("mask") == i, same(masks[i])), range(1, len(masks)), F.when(F.col("mask") == 0, same(masks[0])))
+    used = F.array(*(F.array(*(F.lit(i) for i, bit in enumerate(mask) if bit == "1")) for mask in masks))
+    before = F.forall(F.get(used, F.col("mask")), lambda i: F.get(F.col("h"), text + i) == F.get(F.col("words"), item + i))
     return ~((F.col("item_at") > 0) & (F.col("at") > F.col("first")) & F.coalesce(before, F.lit(False)))
 
 
-def _overlap() -> tuple[Column, Column]:
-    """(agreeing words, agreeing words of the best run) of an item's words laid over a text's at the hit's alignment.
+def _overlap(counts: Column) -> Column:
+    """(agreeing words, agreeing words of the best run) of an item's words laid over a text's at the hit's alignment, null
+    unless the hit ``counts``.
 
     A run gains 1 for each word that agrees and loses 4 for each that differs, and starts anew where that leaves nothing.
     """
@@ -136,28 +124,20 @@ def _overlap() -> tuple[Column, Column]:
             F.size(F.filter(same, lambda x: x)).alias("matched"), F.aggregate(same, start, step, lambda a: a["best"]).alias("run")
         ),
     )
-    return both["matched"], both["run"]
+    return F.when(counts, both)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, matched, item_words, run) for each text and item that leaks into it, the best alignment.
-
-    matched counts agreeing words within 64 words of a hit that begins a run of hits, run those of the best run there.
-    Words are lower-cased runs of letters and digits, text_hash is xxhash64 of the text. An item of fewer than 8 words is
-    reported where it stands whole and unchanged. Null, empty and wordless texts and items leak nothing; rows with a null
-    doc_id or item_id take part; rows that repeat a doc_id with another text are reported by themselves, repeated rows
-    once, and of items of one id the best counts. Other columns are ignored.
-    """
-    items = _items(benchmark)
-    masks = _masks(items)
-    seeds = item_seeds(items, masks)
-    pieces = text_pieces(docs, min(map(len, masks)))
+def _best_alignments(pieces: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame:
+    """(doc_id, text_hash, item_id, item_words, matched, run) of ``items`` with as many words as the masks have, or more."""
     key = ["doc_id", "text_hash"]
+    seeds = item_seeds(items, masks)
     if seeds.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        hits = text_windows(pieces, masks, *key, "low", "h").join(F.broadcast(seeds), ["mask", "seed"]).where(_first_of_run(masks))
+        hits = text_windows(pieces, masks, *key, "low", "h").join(F.broadcast(seeds), "seed")
+        # The test stands beside the comparison: as a join condition it would keep the join out of generated code.
+        counts = _first_of_run(masks)
     else:  # only seeds and places are shuffled by seed, the words follow to the hits
         named = seeds.withColumn("item_hash", F.xxhash64("words", "item_low"))
-        found = text_windows(pieces, masks, *key).join(named.select("mask", "seed", "item_id", "item_at", "item_words", "item_hash"), ["mask", "seed"]).drop("seed").distinct()
+        found = text_windows(pieces, masks, *key).join(named.select("mask", "seed", "item_id", "item_at", "item_words", "item_hash"), "seed").drop("seed").distinct()
         along = Window.partitionBy(*key, "first", "item_id", "item_words", "mask", F.col("at") - F.col("item_at")).orderBy("item_at")
         found = found.withColumn("before", F.lag("item_at").over(along)).where("before is null or before < item_at - 1")
         texts = pieces.select(*(F.col(c).alias(f"own_{c}") for c in key), F.col("first").alias("own_first"), "low", "h").distinct()
@@ -169,13 +149,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             wanted,
             F.col("item_id").eqNullSafe(F.col("own_item")) & (F.col("item_at") == F.col("own_at")) & (F.col("item_hash") == F.col("own_hash")),
         )
-    matched, run = _overlap()
-    # The tests come after the maxima: as a join condition they would keep the join out of generated code.
-    best = hits.select(*key, "item_id", "item_words", matched.alias("matched"), run.alias("run")).groupBy(*key, "item_id", "item_words")
-    best = best.agg(*(F.max(c).cast("long").alias(c) for c in ("matched", "run"))).withColumn("item_words", F.col("item_words").cast("long"))
-    enough = (F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN)
-    found = best.where(F.when(F.col("item_words") < MIN_WORDS, F.col("matched") == F.col("item_words")).otherwise(enough))
-    return found.groupBy(*key, "item_id").agg(*(F.max(c).alias(c) for c in ("matched", "item_words", "run")))
+        counts = F.lit(True)
+    measured = hits.select(*key, "item_id", "item_words", _overlap(counts).alias("x")).select(*key, "item_id", "item_words", "x.matched", "x.run")
+    best = measured.groupBy(*key, "item_id", "item_words").agg(*(F.max(c).cast("long").alias(c) for c in ("matched", "run")))
+    return best.withColumn("item_words", F.col("item_words").cast("long"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, matched, item_words, run) for each text and item that leaks into it, the best alignment.
+
+    matched counts agreeing words within 64 words of a hit that begins a run of hits, run those of the best run there.
+    Words are lower-cased runs of letters and digits, text_hash is xxhash64 of the text. An item of fewer than 8 words is
+    reported where it stands whole and unchanged. Null, empty and wordless texts and items leak nothing; rows with a null
+    doc_id or item_id take part; rows that repeat a doc_id with another text are reported by themselves, repeated rows
+    once, and of items of one id the best counts. Other columns are ignored.
+    """
+    items = _items(benchmark)
+    # The tests come after the maxima.
+    long = _best_alignments(text_pieces(docs), items.where(F.size("h") >= MIN_WORDS), list(MASKS))
+    found = long.where((F.col("matched") >= SHARE * F.col("item_words")) | (F.col("run") >= RUN))
+    for n in _short_lengths(items):
+        whole = _best_alignments(text_pieces(docs, n), items.where(F.size("h") == n), ["1" * n])
+        found = found.unionByName(whole.where("matched = item_words"))
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(*(F.max(c).alias(c) for c in ("matched", "item_words", "run")))
 
 
 def op9_benchmark_spaced_seeds(spark, sf_dir: str) -> DataFrame:
