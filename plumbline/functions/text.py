@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Function words that tell prose from keyword lists.
 FUNCTION_WORDS = (
@@ -34,22 +33,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def all_words(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores of any script."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-case runs of letters of any script."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case words with accented letters and digits."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9áéíóúñü]+"), lambda w: w != "")
 
 
-@F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """Compatibility-decomposed, without marks, lower case, other characters as single blanks, padded with blanks."""
+def _plain_forms() -> tuple[str, str]:
+    """Characters whose compatibility decomposition without marks is one ASCII letter or digit, and what that is."""
+    found = {}
+    for i in range(128, sys.maxunicode + 1):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            found[chr(i)] = plain.lower()
+    return "".join(found), "".join(found.values())
+
+
+FOLDED, PLAIN = _plain_forms()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents: letters and digits of compatible forms as the plain ones, combining marks dropped."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), FOLDED, PLAIN)
 
-    def one(value):
-        if value is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
-        return f" {' '.join(''.join(c if c.isalnum() else ' ' for c in plain).split())} "
 
-    return text.map(one)
+def norm(text: Column) -> Column:
+    """Folded words of ASCII letters and digits, one blank between them and around the whole; for null and empty texts a blank."""
+    flat = F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.when(flat == "", F.lit("  ")).otherwise(F.concat(F.lit(" "), flat, F.lit(" ")))
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -67,7 +87,7 @@ def repetition(text: Column) -> Column:
     def share(g):
         return F.when(F.size(g) >= 6, F.round(1 - F.size(F.array_distinct(g)) / F.size(g), 3)).otherwise(F.lit(0.0))
 
-    return let(grams(words(text), 3), share)
+    return let(grams(all_words(text), 3), share)
 
 
 def repetition_factor(share: Column) -> Column:
@@ -81,7 +101,7 @@ def prose_segments(text: Column) -> Column:
     parts = F.split(text, r"[.!?;\n•|]+")
 
     def reads(segment):
-        w = F.filter(F.split(F.lower(segment), "[^a-z]+"), lambda x: x != "")
+        w = letter_words(segment)
         return (F.size(w) > 0) & ((F.size(w) <= 4) | F.arrays_overlap(w, known))
 
     return F.filter(parts, reads)

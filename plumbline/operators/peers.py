@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,27 +29,39 @@ def peer_pairs(targets: DataFrame, items: DataFrame, exact: list[str], tolerant:
     a known target currency must be the candidate's, ``tolerant`` columns only rule out known differences, and a price
     beyond ``band`` of the target's rules out comparable prices. score counts equal known ``tolerant`` and ``soft``
     columns and a comparable price. ``live`` names a boolean column of items; only true or unknown rows are candidates.
+    ``band`` is below 1. Every item can be a target: pairs meet by equal keys and, with comparable prices, near price classes.
     """
-    t, c = targets.alias("t"), items.alias("c")
     if live:
-        c = items.where(F.coalesce(F.col(live), F.lit(True))).alias("c")
+        items = items.where(F.coalesce(F.col(live), F.lit(True)))
+    priced = F.coalesce((F.col("price") > 0) & F.col("currency").isNotNull(), F.lit(False))
+    coded = F.col("currency").isNotNull()
+    # Prices fall into classes as wide as the band, so that only items of near classes meet.
+    width = math.log1p(band)
+    at = lambda price: F.floor(F.ln(price) / width)
+    reach = F.sequence(at(F.col("price") * (1 - band)), at(F.col("price") * (1 + band)))
+    near = targets.where(priced).withColumn("price_class", F.explode(reach))
+    classed = items.where(priced).withColumn("price_class", at(F.col("price")))
     a, b = (lambda n: F.col(f"t.{n}")), (lambda n: F.col(f"c.{n}"))
-    same_money = comparable(a("price"), b("price"), a("currency"), b("currency"))
-    conditions = [a(k).eqNullSafe(b(k)) for k in exact] + [a("id") != b("id")]
-    conditions += [unknown_or_equal(a(k), b(k)) for k in tolerant]
-    conditions += [
-        F.coalesce(a("currency") == b("currency"), a("currency").isNull()),
-        ~same_money | (F.abs(b("price") - a("price")) <= band * a("price")),
-    ]
-    pairs = t.join(c, reduce(lambda x, y: x & y, conditions))
-    points = [F.coalesce((a(k) == b(k)).cast("int"), F.lit(0)) for k in [*tolerant, *soft]] + [same_money.cast("int")]
-    known = reduce(lambda x, y: x & y, [a(k).isNull() | b(k).isNotNull() for k in tolerant], F.lit(True))
-    return pairs.select(
-        a("id").alias("target_id"),
-        b("id").alias("peer_id"),
-        reduce(lambda x, y: x + y, points).alias("score"),
-        F.when(same_money, F.abs(b("price") - a("price"))).alias("diff"),
-        known.alias("tolerant_known"),
+
+    def met(t: DataFrame, c: DataFrame, keys: list[str], same_money: bool) -> DataFrame:
+        conditions = [a(k).eqNullSafe(b(k)) for k in exact] + [a(k) == b(k) for k in keys] + [a("id") != b("id")]
+        conditions += [unknown_or_equal(a(k), b(k)) for k in tolerant]
+        conditions += [F.abs(b("price") - a("price")) <= band * a("price")] if same_money else []
+        points = [F.coalesce((a(k) == b(k)).cast("int"), F.lit(0)) for k in [*tolerant, *soft]] + [F.lit(int(same_money))]
+        known = reduce(lambda x, y: x & y, [a(k).isNull() | b(k).isNotNull() for k in tolerant], F.lit(True))
+        return t.alias("t").join(c.alias("c"), reduce(lambda x, y: x & y, conditions, F.lit(True))).select(
+            a("id").alias("target_id"),
+            b("id").alias("peer_id"),
+            reduce(lambda x, y: x + y, points).alias("score"),
+            (F.abs(b("price") - a("price")) if same_money else F.lit(None)).cast("double").alias("diff"),
+            known.alias("tolerant_known"),
+        )
+
+    return (
+        met(near, classed, ["currency", "price_class"], True)
+        .unionByName(met(targets.where(priced), items.where(coded & ~priced), ["currency"], False))
+        .unionByName(met(targets.where(coded & ~priced), items.where(coded), ["currency"], False))
+        .unionByName(met(targets.where(~coded), items, [], False))
     )
 
 
@@ -99,6 +112,23 @@ def equal_or_unknown(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 
 
+def similar_pairs(items: DataFrame, generators: list[list[str]], parts, least: float) -> DataFrame:
+    """(target_id, peer_id, score) of all pairs of at least ``least`` similarity that share the columns of any generator.
+
+    ``items`` has (id, ...); ``parts(a, b)`` gives the weighted components of a pair from columns of either side. Choose
+    generators so that a pair that shares none of them cannot reach ``least``; the result is then whole.
+    """
+    a, b = (lambda n: F.col(f"t.{n}")), (lambda n: F.col(f"c.{n}"))
+    found = []
+    for i, keys in enumerate(generators):
+        shared = [a(k) == b(k) for k in keys] + [a("id") != b("id")]
+        for earlier in generators[:i]:  # pairs that an earlier generator gives
+            shared.append(~F.coalesce(reduce(lambda x, y: x & y, [a(k) == b(k) for k in earlier]), F.lit(False)))
+        pairs = items.alias("t").join(items.alias("c"), reduce(lambda x, y: x & y, shared))
+        found.append(pairs.select(a("id").alias("target_id"), b("id").alias("peer_id"), weighted(parts(a, b)).alias("score")).where(F.col("score") >= least))
+    return reduce(DataFrame.unionByName, found)
+
+
 def rank_interval(rows: DataFrame, group: list[str], score: str, item: str) -> DataFrame:
     """``rows`` with position (neutral order by item within ties), position_from and position_to of its score in the group."""
     whole = Window.partitionBy(*group)

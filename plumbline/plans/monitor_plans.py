@@ -30,7 +30,7 @@ def metric_trends(spark, sf_dir: str) -> DataFrame:
 
 
 def delivery_state_machine(spark, sf_dir: str) -> DataFrame:
-    return m.failure_runs(_events(spark, sf_dir), "user_id", ORDER, F.col("event_type").isin("error", "view"), 5)
+    return m.failure_runs(_events(spark, sf_dir), "user_id", ORDER, F.col("event_type") != "purchase", 15)
 
 
 def approval_latest(spark, sf_dir: str) -> DataFrame:
@@ -91,9 +91,9 @@ ORACLE_SQL = {
         GROUP BY 1, 2 HAVING count(DISTINCT ts::DATE) >= 2)
       SELECT user_id, event_type, n, first, last, round(last - first, 4) AS delta, CASE WHEN first <> 0 THEN round(100 * (last - first) / first, 4) END AS pct,
         CASE WHEN last > first THEN 'up' WHEN last < first THEN 'down' ELSE 'flat' END AS direction FROM t""",
-    "delivery_state_machine": """WITH f AS (SELECT user_id, event_type IN ('error', 'view') AS bad, sum((event_type NOT IN ('error', 'view'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+    "delivery_state_machine": """WITH f AS (SELECT user_id, event_type <> 'purchase' AS bad, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
         r AS (SELECT user_id, run, count(*) FILTER (bad) AS n, count(*) AS rows FROM f GROUP BY 1, 2)
-      SELECT user_id, sum(rows)::BIGINT AS attempts, sum(n)::BIGINT AS failures, max(n) AS longest_run, max(n) >= 5 AS disabled FROM r GROUP BY 1""",
+      SELECT user_id, sum(rows)::BIGINT AS attempts, sum(n)::BIGINT AS failures, max(n) AS longest_run, max(n) >= 15 AS disabled FROM r GROUP BY 1""",
     "approval_latest": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS changes FROM events GROUP BY 1",
     "budget_running_spend": """WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(value) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
       SELECT day, count(*) AS calls, count(*) FILTER (spent <= 10000) AS allowed, round(max(spent) FILTER (spent <= 10000), 4) AS spent FROM s GROUP BY 1""",

@@ -47,7 +47,9 @@ def peer_price_percentile(spark, sf_dir: str) -> DataFrame:
 
 
 def price_outliers(spark, sf_dir: str) -> DataFrame:
-    found = prices.outliers(unit_prices(spark, sf_dir), ["p_type"], "unit_price", width=0.8)
+    """By type how many units are beyond the fence, and which; every hundredth order's prices are misread by a factor of 100."""
+    rows = unit_prices(spark, sf_dir).withColumn("unit_price", F.when(F.col("l_orderkey") % 100 == 0, F.col("unit_price") * 100).otherwise(F.col("unit_price")))
+    found = prices.outliers(rows, ["p_type"], "unit_price")
     return found.groupBy("p_type").agg(
         F.first("n").alias("n"), F.count("*").alias("outliers"), F.min("unit_price").alias("least"), F.max("unit_price").alias("most")
     )
@@ -64,7 +66,7 @@ def price_position(spark, sf_dir: str) -> DataFrame:
 def suspicious_discounts(spark, sf_dir: str) -> DataFrame:
     rows = unit_prices(spark, sf_dir).withColumn("price", F.col("unit_price") * (1 - F.col("l_discount")))
     stats = prices.group_stats(rows, ["p_type"], "price")
-    flag = prices.suspicious(F.col("l_discount"), F.col("unit_price"), F.col("price"), F.col("p75"), F.col("p90"), 0.1)
+    flag = prices.suspicious(F.col("l_discount"), F.col("unit_price"), F.col("price"), F.col("p75"), F.col("p90"))
     flagged = rows.join(stats, "p_type").withColumn("suspicious", flag)
     return flagged.groupBy("p_type").agg(F.count("*").alias("n"), F.count_if("suspicious").alias("suspicious"))
 
@@ -127,9 +129,10 @@ ORACLE_SQL = {
         count(*) OVER (PARTITION BY p_type, p_retailprice) AS same FROM part WHERE p_retailprice > 0)
       SELECT p_partkey, p_type, n, round(100 * (below + same / 2) / n, 4) AS percentile,
         CASE WHEN x < p25 THEN 'below' WHEN x > p75 THEN 'above' ELSE 'within' END AS position FROM r JOIN s USING (p_type)""",
-    "price_outliers": f"""WITH {UNIT}, s AS ({STATS.format(keys="p_type", x="unit_price", t="u", least=10)})
+    "price_outliers": f"""WITH {UNIT.replace("u AS", "u0 AS", 1)}, u AS (SELECT p_type, CASE WHEN l_orderkey % 100 = 0 THEN unit_price * 100 ELSE unit_price END AS unit_price FROM u0),
+        s AS ({STATS.format(keys="p_type", x="unit_price", t="u", least=10)})
       SELECT p_type, max(n) AS n, count(*) AS outliers, min(unit_price) AS least, max(unit_price) AS most
-      FROM u JOIN s USING (p_type) WHERE ln(unit_price) < ln(p25) - 0.8 * (ln(p75) - ln(p25)) OR ln(unit_price) > ln(p75) + 0.8 * (ln(p75) - ln(p25))
+      FROM u JOIN s USING (p_type) WHERE ln(unit_price) < ln(p25) - 3 * (ln(p75) - ln(p25)) OR ln(unit_price) > ln(p75) + 3 * (ln(p75) - ln(p25))
       GROUP BY p_type""",
     "price_position": f"""WITH s AS ({STATS.format(keys="p_type, p_brand", x="p_retailprice", t="part", least=3)})
       SELECT p_partkey, n IS NOT NULL AS available, round(p50, 4) AS median,
@@ -137,7 +140,7 @@ ORACLE_SQL = {
       FROM part LEFT JOIN s USING (p_type, p_brand)""",
     "suspicious_discounts": f"""WITH {UNIT}, v AS (SELECT *, unit_price * (1 - l_discount) AS price FROM u),
         s AS ({STATS.format(keys="p_type", x="price", t="v", least=5)})
-      SELECT p_type, count(*) AS n, count(*) FILTER (l_discount >= 0.1 OR (unit_price > p90 AND price <= p75)) AS suspicious
+      SELECT p_type, count(*) AS n, count(*) FILTER (l_discount >= 0.5 OR (unit_price > p90 AND price <= p75)) AS suspicious
       FROM v JOIN s USING (p_type) GROUP BY p_type""",
     "fx_cpi_adjusted_prices": f"""WITH {UNIT}, r(currency, per_usd) AS (VALUES ('EUR', 0.9::DOUBLE), ('GBP', 0.75), ('USD', 1.0)),
         x(period, level) AS (VALUES ('1998', 163.0::DOUBLE), ('1999', 166.6), ('2000', 172.2), ('2001', 177.1), ('2024', 313.7)),

@@ -68,7 +68,7 @@ def segment_visibility_gap(spark, sf_dir: str) -> DataFrame:
 
 
 def ambiguous_model_key(spark, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_size <= 3").select("p_partkey", "p_name", "p_brand")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     return v.ambiguous_key(part, "p_name", "p_brand").groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -145,7 +145,7 @@ ORACLE_SQL = {
         r AS (SELECT p_brand, c_mktsegment, count(*) / any_value(answers) AS rate FROM p JOIN a USING (o_orderkey) JOIN t USING (c_mktsegment) GROUP BY 1, 2),
         w AS (SELECT p_brand, max(rate) FILTER (c_mktsegment = 'BUILDING') AS x, max(rate) FILTER (c_mktsegment = 'MACHINERY') AS y FROM r GROUP BY 1)
       SELECT p_brand, round(x, 4) AS building, round(y, 4) AS machinery, round(x - y, 4) AS gap FROM w""",
-    "ambiguous_model_key": """WITH s AS (SELECT * FROM part WHERE p_size <= 3), a AS (SELECT p_name, count(DISTINCT p_brand) > 1 AS many FROM s GROUP BY 1)
+    "ambiguous_model_key": """WITH s AS (SELECT * FROM part), a AS (SELECT p_name, count(DISTINCT p_brand) > 1 AS many FROM s GROUP BY 1)
       SELECT CASE WHEN many THEN p_brand || ':' || p_name ELSE p_name END AS key, count(*) AS n FROM s JOIN a USING (p_name) GROUP BY 1""",
     "top_unmatched": """SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)
       GROUP BY 1, 2 ORDER BY n DESC, l_returnflag, l_partkey LIMIT 20""",
