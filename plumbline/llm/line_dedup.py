@@ -138,7 +138,7 @@ def _units(batches, reach: int, line_words: int):
 def _passages(rows: DataFrame, min_words: int, reach: int, line_words: int) -> DataFrame:
     """(row, doc_id, start, end, words, units, kept_doc_id) of ``rows`` (row, doc_id, text), each with a number of its own."""
     units = materialize(rows.mapInArrow(lambda batches: _units(batches, reach, line_words), UNITS), "units")
-    units = units.withColumn("ranked", F.coalesce("doc_id", F.lit(NO_ID)))
+    units = units.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("ranked"), *(c for c in units.columns if c != "doc_id"))
     # Minima combine before the shuffle, so a unit that a third of all rows share costs one row a task.
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min("ranked").alias("kept")).where("n > 1")
     met = materialize(join_per_key(units, first, "digest", "n", units.count()), "met")
@@ -158,7 +158,7 @@ def _passages(rows: DataFrame, min_words: int, reach: int, line_words: int) -> D
     return (
         runs.withColumn("line", F.when(long, -1).when(F.col("whole"), F.col("unit")))
         .where("line is not null")
-        .groupBy("row", "doc_id", "run", "line")
+        .groupBy("row", "ranked", "run", "line")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -166,7 +166,9 @@ def _passages(rows: DataFrame, min_words: int, reach: int, line_words: int) -> D
             F.sum((F.col("last") - F.col("unit") + 1) * F.col("own")).alias("units"),
             F.min("kept").alias("kept"),
         )
-        .select("row", "doc_id", "start", "end", "words", "units", F.nullif(F.col("kept"), F.lit(NO_ID)).alias("kept_doc_id"))
+        .select(
+            "row", F.nullif(F.col("ranked"), F.lit(NO_ID)).alias("doc_id"), "start", "end", "words", "units", F.nullif(F.col("kept"), F.lit(NO_ID)).alias("kept_doc_id")
+        )
     )
 
 
