@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import connected_components
+from plumbline.operators.skew import join_per_key
+from plumbline.storage import materialize
 
 
 def linked_groups(rows: DataFrame, key: str, links: list[Column]) -> DataFrame:
@@ -17,8 +19,8 @@ def linked_groups(rows: DataFrame, key: str, links: list[Column]) -> DataFrame:
     """
     named = rows.select(key, F.explode(F.array(*(F.when(c.isNotNull(), F.concat(F.lit(f"{i}:"), c)) for i, c in enumerate(links)))).alias("link"))
     named = named.where("link is not null")
-    least = named.groupBy("link").agg(F.min(key).alias("least"))
-    edges = named.join(least, "link").where(F.col(key) != F.col("least")).select(key, "least")
+    least = named.groupBy("link").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    edges = join_per_key(named, least, "link", "n", rows.count() * len(links)).where(F.col(key) != F.col("least")).select(key, "least")
     found = connected_components(edges, key, "least").select(F.col("node").alias(key), "component")
     return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce("component", key).alias("group"))
 
@@ -85,30 +87,39 @@ def greedy_split(groups: DataFrame, group: str, stratum: str, size: str, parts:
     )
 
 
-def keep_first(rows: DataFrame, key: str, links: list[Column]) -> DataFrame:
+def keep_first(rows: DataFrame, key: str, links: list[Column], max_rounds: int = 1000) -> DataFrame:
     """(key, kept): greedy first-come deduplication: a row goes to the first kept row it shares a link with.
 
-    A dropped row registers no links, so the result depends on the order of keys and is not transitive; it is exact
-    within connected components, because links never cross them. Components are the unit of a task.
+    A dropped row registers no links, so the result depends on the order of keys and is not transitive. Rows are settled in
+    rounds: one that is the least undecided row of all its links is kept, and rows that share a link with a kept one are
+    dropped. A round is two grouped minima and their joins; no group is gathered. Of several links the first counts that a
+    smaller kept row owns. Rows without links are kept.
     """
-    named = [c.alias(f"link_{i}") for i, c in enumerate(links)]
-    columns = [f"link_{i}" for i in range(len(links))]
-    grouped = rows.select(key, *named).join(linked_groups(rows, key, links), key)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner: dict = {}
-        kept = []
-        pdf = pdf.sort_values(key, ignore_index=True)
-        for me, *own in pdf[[key, *columns]].itertuples(index=False):
-            names = [(i, x) for i, x in enumerate(own) if x is not None]
-            first = next((owner[n] for n in names if n in owner), me)
-            if first == me:
-                owner.update(dict.fromkeys(names, me))
-            kept.append(first)
-        return pd.DataFrame({key: pdf[key], "kept": kept})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return grouped.groupBy("group").applyInPandas(greedy, f"`{key}` {kind}, kept {kind}")
+    named = F.explode(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.concat(F.lit(f"{i}:"), c).alias("link"))) for i, c in enumerate(links))))
+    pairs = rows.select(key, named.alias("x")).where("x is not null").select(key, "x.i", "x.link").distinct()
+    pairs = materialize(pairs, "links")
+    open_pairs = pairs.select(key, "link")
+    owners = None
+    for _ in range(max_rounds):
+        total = open_pairs.count()
+        if not total:
+            break
+        least = open_pairs.groupBy("link").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+        marked = join_per_key(open_pairs, least, "link", "n", total)
+        first = marked.groupBy(key).agg(F.bool_and(F.col(key) == F.col("least")).alias("first")).where("first").select(key)
+        won = materialize(open_pairs.join(first, key, "left_semi").select("link", F.col(key).alias("owner")), "owners")
+        owners = won if owners is None else owners.unionByName(won)
+        taken = open_pairs.groupBy("link").agg(F.count("*").alias("n")).join(won, "link")
+        gone = join_per_key(open_pairs, taken, "link", "n", total).select(key).distinct()
+        open_pairs = materialize(open_pairs.join(gone, key, "left_anti"), "open")
+    else:
+        raise RuntimeError(f"rows did not settle in {max_rounds} rounds")
+    if owners is None:
+        return rows.select(key, F.col(key).alias("kept"))
+    counted = pairs.groupBy("link").agg(F.count("*").alias("n")).join(owners, "link")
+    owned = join_per_key(pairs.select(key, "i", "link"), counted, "link", "n", pairs.count()).where(F.col("owner") <= F.col(key))
+    kept = owned.groupBy(key).agg(F.min_by("owner", "i").alias("kept"))
+    return rows.select(key).distinct().join(kept, key, "left").select(key, F.coalesce("kept", key).alias("kept"))
 
 
 def leaking_keys(rows: DataFrame, key: str, split: str) -> DataFrame:

@@ -15,8 +15,8 @@ def _docs(spark, sf_dir: str) -> DataFrame:
 
 
 def _links():
-    """Documents are linked by equal texts, and by source with equal first twenty characters."""
-    return [F.md5("text"), F.concat_ws("|", "source", F.substring("text", 1, 20))]
+    """Documents are linked by equal texts, and by source with an equal first line."""
+    return [F.md5("text"), F.concat_ws("|", "source", F.substring_index("text", "\n", 1))]
 
 
 def leakage_groups(spark, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES = {
     )
 }
 
-GROUPS = """n AS (SELECT doc_id, md5(text) AS k FROM documents UNION SELECT doc_id, source || '|' || substr(text, 1, 20) FROM documents),
+GROUPS = """n AS (SELECT doc_id, md5(text) AS k FROM documents UNION SELECT doc_id, source || '|' || split_part(text, chr(10), 1) FROM documents),
   m AS (SELECT k, min(doc_id) AS least FROM n GROUP BY 1), e AS (SELECT DISTINCT doc_id AS a, least AS b FROM n JOIN m USING (k) WHERE doc_id <> least),
   b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT DISTINCT a, a FROM b UNION SELECT b.b, r.seen FROM r JOIN b ON b.a = r.node),
   g AS (SELECT d.doc_id, coalesce(min(seen), d.doc_id) AS "group" FROM documents d LEFT JOIN r ON r.node = d.doc_id GROUP BY d.doc_id)"""
