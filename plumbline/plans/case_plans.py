@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import claims as c
 from plumbline.functions import listings as g
 from plumbline.functions import text as t
+from plumbline.functions import urls
 from plumbline.functions import vocabulary as v
 from plumbline.storage import table
 
@@ -200,6 +201,13 @@ CASES: dict[str, Cases] = {
             ("HTTPS://user@8.8.8.8/", None), ("https:///p", "scheme_or_host"), ("http://100.64.0.9/", "not_public"),
         ],
     ),
+    "url_match_keys": Cases(
+        "url string", "page_key VARCHAR, capture_key VARCHAR", lambda u: [urls.page_key(u), urls.capture_key(u)],
+        [
+            ("https://www.Shop.example:443/P/1/?q=1#x", "shop.example/p/1", "shop.example/P/1?q=1"), ("http://shop.example", "shop.example", "shop.example"), ("nothing", None, ""), (None, None, None),
+            ("//cdn.example/a?", "cdn.example/a", "cdn.example/a"),
+        ],
+    ),
     "redirects_home": Cases(
         "url string, final string", "home BOOLEAN", lambda u, f: [g.went_home(u, f)],
         [

@@ -27,5 +27,10 @@ def stream_windowed_counts(spark, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (stream_change_events, stream_windowed_counts)}
-ORACLE_SQL = {"stream_change_events": BATCH_SQL["change_events"]}
+def stream_once_per_key(spark, sf_dir: str) -> DataFrame:
+    """Each user's types of events once: a repeated key within the watermark inserts nothing."""
+    return c.run_once(c.once_per_key(_stream(spark, sf_dir), ["user_id", "event_type"], "400 days"), "once").select("user_id", "event_type")
+
+
+QUERIES = {f.__name__: f for f in (stream_change_events, stream_windowed_counts, stream_once_per_key)}
+ORACLE_SQL = {"stream_change_events": BATCH_SQL["change_events"], "stream_once_per_key": "SELECT DISTINCT user_id, event_type FROM events"}
