@@ -9,23 +9,20 @@ from plumbline.operators.skew import join_per_key
 from plumbline.storage import materialize
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Edges (u, v) with m, the least v of their u; a hub's edges are not gathered in one task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return join_per_key(edges, least, "u", "n", total)
-
-
 def _stars(edges: DataFrame, total: int) -> DataFrame:
-    """One large-star and one small-star step; ``edges`` are ``total`` pairs (u, v) with v < u."""
+    """One large-star and one small-star step; ``edges`` are ``total`` pairs (u, v) with v < u.
+
+    In the large-star a hub is the end that all its edges are looked up by, so these stay spread; in the small-star edges are
+    looked up by their larger end, which has few.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = (
-        _with_least(both, 2 * total)
-        .where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    )
-    large = materialize(large.where("u != v").distinct(), "stars")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    large = join_per_key(both, least, "u", "n", 2 * total).where(F.col("v") > F.col("u"))
+    large = large.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+    large = materialize(large, "stars")
+    down = large.groupBy("u").agg(F.min("v").alias("m"))
     small = (
-        _with_least(large, total)
+        large.join(down, "u")
         .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
     )
