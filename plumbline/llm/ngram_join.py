@@ -268,11 +268,13 @@ def _comparisons(near: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     total = near.count()
     need = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("long").alias("blocks")
     whole = near.groupBy("component").agg(F.count("*").alias("n"), need)
-    bands = near.groupBy("component", "band").agg(F.count("*").alias("n"), need)
+    bands = materialize(near.groupBy("component", "band").agg(F.count("*").alias("n"), need), "bands")
     beside = bands.select("component", "band", F.col("blocks").alias("own"), "n")
     for name, step in (("below", 1), ("above", -1)):
         other = bands.select("component", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
         beside = beside.join(other, ["component", "band"], "left")
+    # Written, so that plans stay small: each is looked up for hot and for other keys.
+    whole, beside = materialize(whole, "whole"), materialize(beside, "beside")
     near = join_per_key(near, whole, "component", "n", total)
     near = materialize(join_per_key(near, beside, ["component", "band"], "n", total), "shaped")
     small = near.where("blocks = 1").agg(F.sum("n_words")).first()[0] or 0
@@ -370,8 +372,9 @@ def jaccard_links(
         .withColumn("linked", F.coalesce("linked", F.lit(0)))
     )
     member = materialize(member, "member")
-    top = member.groupBy("component").agg(F.min("sample").alias("top"), F.count("*").alias("n"))
+    top = materialize(member.groupBy("component").agg(F.min("sample").alias("top"), F.count("*").alias("n")), "top")
     member = join_per_key(member, top, "component", "n", n_texts).select("digest", "top", F.col("copies").alias("n"), "copies", "linked")
+    member = materialize(member, "headed")
     worded = signed.where("n_words > 0").select("doc_id", "text_hash", "digest")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     return (
