@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9áéíóúñü]+"), lambda w: w != "")
 
 
+@lru_cache(maxsize=1)
 def _plain_forms() -> tuple[str, str]:
     """Characters whose compatibility decomposition without marks is one ASCII letter or digit, and what that is."""
     found = {}
@@ -58,12 +60,9 @@ def _plain_forms() -> tuple[str, str]:
     return "".join(found), "".join(found.values())
 
 
-FOLDED, PLAIN = _plain_forms()
-
-
 def folded(text: Column) -> Column:
     """Lower case without accents: letters and digits of compatible forms as the plain ones, combining marks dropped."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), FOLDED, PLAIN)
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), *_plain_forms())
 
 
 def norm(text: Column) -> Column:

@@ -58,10 +58,15 @@ def neighbourhood(ranked: DataFrame, group: str, rank: str, me: Column, top: int
     return ranked.withColumn("mine", mine).where((F.col(rank) <= top) | (F.abs(F.col(rank) - F.col("mine")) <= around)).drop("mine")
 
 
-def unseen_terms(texts: DataFrame, key: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
-    """(key, terms): the words of each text that the vocabulary (key, term) of its key lacks, sorted."""
-    said = texts.select(key, F.explode(F.array_distinct(tokens)).alias("term"))
-    return said.join(vocabulary, [key, "term"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+def new_terms(said: DataFrame, owner: str, order: str, term: str) -> DataFrame:
+    """(order, terms): of each text (owner, order, term) but its owner's first the terms that no earlier text of the owner had, sorted.
+
+    A term is new where it is first said: a minimum for each owner and term, with no earlier texts to look through.
+    """
+    first = said.groupBy(owner, term).agg(F.min(order).alias(order))
+    start = said.groupBy(owner).agg(F.min(order).alias("start"))
+    later = first.join(start, owner).where(F.col(order) > F.col("start"))
+    return later.groupBy(order).agg(F.array_sort(F.collect_list(term)).alias("terms"))
 
 
 def independent_domains(evidence: DataFrame, key: str, host: Column, own: Column) -> DataFrame:

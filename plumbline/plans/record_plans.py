@@ -65,13 +65,13 @@ def leaderboard_neighbourhood(spark, sf_dir: str) -> DataFrame:
 
 
 def unseen_words(spark, sf_dir: str) -> DataFrame:
-    """Words of an order's part names that its customer's earlier orders, those of smaller keys, never had."""
+    """Words of an order's part names that its customer's earlier orders, those of smaller keys, never had; first orders have none."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    named = lines.join(_part(spark, sf_dir).select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
-    even, odd = (named.where(F.col("l_orderkey") % 2 == i).select((F.col("l_orderkey") - i).alias("pair"), "p_name") for i in (0, 1))
-    vocabulary = even.select("pair", F.explode(t.words(F.col("p_name"))).alias("term")).distinct()
-    texts = odd.groupBy("pair").agg(F.array_join(F.collect_list("p_name"), " ").alias("text"))
-    return r.unseen_terms(texts, "pair", t.words(F.col("text")), vocabulary).select("pair", F.array_join("terms", " ").alias("terms"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = _part(spark, sf_dir).select("p_partkey", "p_name")
+    named = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    said = named.select("o_custkey", "o_orderkey", F.explode(t.words(F.col("p_name"))).alias("term"))
+    return r.new_terms(said, "o_custkey", "o_orderkey", "term").select("o_orderkey", F.array_join("terms", " ").alias("terms"))
 
 
 def evidence_domains(spark, sf_dir: str) -> DataFrame:
@@ -150,8 +150,8 @@ ORACLE_SQL = {
     "leaderboard_neighbourhood": """WITH k AS (SELECT p_type, p_partkey, p_brand, (row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey))::INT AS rank FROM part),
         m AS (SELECT *, max(CASE WHEN p_brand = 'Brand#7' THEN rank END) OVER (PARTITION BY p_type) AS mine FROM k)
       SELECT p_type, rank, p_partkey FROM m WHERE rank <= 3 OR abs(rank - mine) <= 1""",
-    "unseen_words": """WITH n AS (SELECT l_orderkey AS o, unnest(string_split(lower(p_name), ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey)
-      SELECT o - 1 AS pair, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM n WHERE o % 2 = 1 AND NOT EXISTS (SELECT 1 FROM n e WHERE e.o = n.o - 1 AND e.term = n.term) GROUP BY 1""",
+    "unseen_words": """WITH n AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o, unnest(string_split(lower(p_name), ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)
+      SELECT o AS o_orderkey, string_agg(term, ' ' ORDER BY term) AS terms FROM n WHERE EXISTS (SELECT 1 FROM n e WHERE e.c = n.c AND e.o < n.o) AND NOT EXISTS (SELECT 1 FROM n e WHERE e.c = n.c AND e.term = n.term AND e.o < n.o) GROUP BY 1""",
     "evidence_domains": "SELECT l_partkey, count(DISTINCT l_suppkey) AS domains FROM lineitem WHERE l_suppkey <> l_partkey % 10 GROUP BY 1",
     "status_examples": """WITH k AS (SELECT o_orderstatus, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS i FROM orders)
       SELECT o_orderstatus, o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY i) AS examples FROM k WHERE i <= 5 GROUP BY 1, 2""",
