@@ -79,15 +79,26 @@ def top_peers(pairs: DataFrame, k: int = 10, fill: int = MIN_PEERS) -> DataFrame
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("known")
 
 
+def eligible_counts(items: DataFrame, exact: list[str], tolerant: list[str]) -> DataFrame:
+    """(target_id, n): how many other ``items`` (id, ...) each item could take as peers were no prices compared, without any pair.
+
+    Rows are summed up by their columns, and only distinct combinations meet; n is 0 for an item that stands alone.
+    """
+    keys = [*exact, *tolerant]
+    classes = items.groupBy(*keys).agg(F.count("*").alias("rows"))
+    a, b = (lambda n: F.col(f"t.{n}")), (lambda n: F.col(f"c.{n}"))
+    fits = reduce(lambda x, y: x & y, [a(k).eqNullSafe(b(k)) for k in exact] + [unknown_or_equal(a(k), b(k)) for k in tolerant])
+    met = classes.alias("t").join(classes.alias("c"), fits).groupBy(*(a(k) for k in keys)).agg((F.sum(b("rows")) - 1).alias("n"))
+    own = reduce(lambda x, y: x & y, [F.col(f"i.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    return items.alias("i").join(met.alias("m"), own).select(F.col("i.id").alias("target_id"), "m.n")
+
+
 def widened(steps: list[tuple[str, DataFrame]], least: int = MIN_PEERS) -> DataFrame:
-    """(target_id, step, n): the first step with at least ``least`` peers of each target, else the last one.
+    """(target_id, step, n): the first step with at least ``least`` peers of each target, else the last one that has any.
 
-    ``steps`` are (name, pairs) from strict to loose; counts are made per step before they meet.
+    ``steps`` are (name, (target_id, n)) from strict to loose; targets without a peer in any step are left out.
     """
-    counted = [
-        p.groupBy("target_id").agg(F.count("*").alias("n")).select("target_id", F.lit(i).alias("i"), F.lit(name).alias("step"), "n")
-        for i, (name, p) in enumerate(steps)
-    ]
+    counted = [c.where("n > 0").select("target_id", F.lit(i).alias("i"), F.lit(name).alias("step"), "n") for i, (name, c) in enumerate(steps)]
     every = reduce(DataFrame.unionByName, counted)
     enough = F.min_by(F.struct("step", "n"), F.when(F.col("n") >= least, F.col("i")))
     last = F.max_by(F.struct("step", "n"), "i")

@@ -35,13 +35,14 @@ def find_peers_topk(spark, sf_dir: str) -> DataFrame:
 
 
 def find_peers_widened(spark, sf_dir: str) -> DataFrame:
-    t = c = items(spark, sf_dir)
-    unpriced = t.withColumns({"price": F.lit(None).cast("double"), "currency": F.lit(None).cast("string")})
+    """The first of four looser steps that gives an item enough peers; only the strictest compares prices and so needs pairs."""
+    every = items(spark, sf_dir)
+    exact = p.peer_pairs(every, every, ["p_type", "p_brand"], ["colour"], [], BAND).groupBy("target_id").agg(F.count("*").alias("n"))
     steps = [
-        ("exact", p.peer_pairs(t, c, ["p_type", "p_brand"], ["colour"], [], BAND)),
-        ("no_price_band", p.peer_pairs(unpriced, c, ["p_type", "p_brand"], ["colour"], [], BAND)),
-        ("no_colour", p.peer_pairs(unpriced, c, ["p_type", "p_brand"], [], [], BAND)),
-        ("any_brand", p.peer_pairs(unpriced, c, ["p_type"], [], [], BAND)),
+        ("exact", exact),
+        ("no_price_band", p.eligible_counts(every, ["p_type", "p_brand"], ["colour"])),
+        ("no_colour", p.eligible_counts(every, ["p_type", "p_brand"], [])),
+        ("any_brand", p.eligible_counts(every, ["p_type"], [])),
     ]
     return p.widened(steps)
 

@@ -116,3 +116,17 @@ def test_constants_of_price_signals(spark):
     assert [r.x for r in flagged.select(flag.alias("x")).collect()] == [True, False, True, False]
     runs = spark.createDataFrame([(u, i, i < n) for u, n in ((1, 14), (2, 15)) for i in range(16)], "u int, i int, bad boolean")
     assert {r.u: r.disabled for r in monitor.failure_runs(runs, "u", ["i"], F.col("bad"), 15).collect()} == {1: False, 2: True}
+
+
+def test_eligible_counts_equal_pairs(spark):
+    from plumbline.operators import peers
+
+    rows = [(i, (None, "a", "b")[i % 3], (None, "red", "blue", "red")[i % 4], (None, 1)[i % 2]) for i in range(40)] + [(99, "lonely", "red", 1)]
+    items = spark.createDataFrame(rows, "id int, type string, colour string, thing int")
+    got = {r.target_id: r.n for r in peers.eligible_counts(items, ["type"], ["colour", "thing"]).collect()}
+    fits = lambda x, y: x is None or y is None or x == y
+    assert got == {t[0]: sum(t[0] != c[0] and t[1] == c[1] and fits(t[2], c[2]) and fits(t[3], c[3]) for c in rows) for t in rows}
+    assert got[99] == 0
+    steps = [("strict", items.selectExpr("id target_id", "cast(id % 3 as long) n")), ("loose", items.selectExpr("id target_id", "cast(if(id = 3, 0, id) as long) n"))]
+    chosen = {r.target_id: (r.step, r.n) for r in peers.widened(steps, 2).collect()}
+    assert (chosen[1], chosen[2], chosen[3 + 1], chosen[9]) == (("loose", 1), ("strict", 2), ("loose", 4), ("loose", 9)) and 3 not in chosen and 0 not in chosen
