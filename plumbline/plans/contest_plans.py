@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import audits as a
 from plumbline.functions import keywords as k
 from plumbline.functions.guard import NEUTRAL
-from plumbline.operators import contests
+from plumbline.operators import contests, selection
 from plumbline.plans import keyword_plans
 from plumbline.plans.attribute_plans import FABRIC
-from plumbline.storage import materialize, table
+from plumbline.sources.files import append_jsonl
+from plumbline.storage import materialize, scratch_path, table
 
 #: Words of facts in the other language.
 FOREIGN = ["camiseta", "algodon", "lana", "pequeno", "rojo"]
@@ -88,6 +89,41 @@ def generator_summary(spark, sf_dir: str) -> DataFrame:
     return contests.generator_summary(materialize(_audited(spark, sf_dir), "audited"))
 
 
-QUERIES = {f.__name__: f for f in (copy_audits, copy_winners, generator_summary)}
+def _tried(spark, sf_dir: str) -> DataFrame:
+    """Candidates in the order in which they are asked for: loud copy first, plain copy last; small parts have no boosted copy, the smallest no plain one."""
+    rows = _candidates(spark, sf_dir).where(~((F.col("p_size") <= 5) & (F.col("generator") == GENERATORS[0])) & ~((F.col("p_size") <= 20) & (F.col("generator") == GENERATORS[1])))
+    order = F.array_position(F.array(*map(F.lit, GENERATORS[::-1])), F.col("generator"))
+    return rows.select(
+        "p_partkey", "facts", "p_size", "title", "text", F.ceil(order / 2).cast("int").alias("round"), order.cast("int").alias("order"), a.plain_words(F.col("facts")).alias("targets"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("fallback_title"), F.array(F.concat_ws(" ", "p_brand", "p_name"), F.concat(F.lit("Made of "), "fabric")).alias("known_facts"),
+    ).withColumn("facts_text", F.col("facts"))
+
+
+def _scored(spark, sf_dir: str) -> DataFrame:
+    scored = selection.scored_candidates(_tried(spark, sf_dir), _grounded())
+    return materialize(scored.drop("facts").withColumnRenamed("known_facts", "facts"), "scored")
+
+
+def selected_copy(spark, sf_dir: str) -> DataFrame:
+    """The copy chosen for every part, with what was cut, and what would still keep it from being published (nothing)."""
+    scored = _scored(spark, sf_dir)
+    chosen = selection.selected_copy(scored, "p_partkey")
+    facts = scored.groupBy("p_partkey").agg(F.min("facts_text").alias("facts"), F.min("p_size").alias("p_size"))
+    left = selection.ungrounded(chosen.join(facts, "p_partkey"), "p_partkey", _grounded()).groupBy("p_partkey").agg(F.count("*").alias("problems"))
+    return chosen.join(left, "p_partkey", "left").select(
+        "p_partkey", "round", "title", "text", F.array_join("removed", "|").alias("removed"), "passed", "total", "attempts_until", "used_fallback", F.coalesce("problems", F.lit(0)).alias("problems")
+    )
+
+
+def preference_pairs(spark, sf_dir: str) -> DataFrame:
+    """Pairs of chosen and rejected copy, written as JSON lines and read back."""
+    scored = _scored(spark, sf_dir)
+    pairs = selection.preference_pairs(scored, selection.selected_copy(scored, "p_partkey"), "p_partkey")
+    path = scratch_path(spark, "pairs")
+    append_jsonl(pairs, path)
+    return spark.read.schema(pairs.schema).json(path)
+
+
+QUERIES = {f.__name__: f for f in (copy_audits, copy_winners, generator_summary, selected_copy, preference_pairs)}
 
 ORACLE_SQL: dict[str, str] = {}
