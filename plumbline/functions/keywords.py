@@ -17,6 +17,12 @@ would like something that with under ideally around about there does dont won't
 they their other than into after before busco buscando quiero necesito recomiendas recomienda recomendarias alguna alguno algun cual cuales puedes sugerir
 sugerencias mejor mejores para como donde algo tengo sirva sirvan pase quede queden sean tenga tengan otra otro
 """.split()  # noqa: SIM905
+# Stems of Spanish questions and the English terms that records use.
+SPANISH_TERMS = {
+    "cambi": "change trend", "tendenc": "trend", "histori": "history", "evoluci": "trend history", "aument": "increased", "subi": "increased", "baj": "decreased",
+    "dismin": "decreased", "precio": "price", "visibilidad": "visibility", "menci": "mention", "descripci": "description", "complet": "completeness", "atribut": "attribute",
+    "posici": "rank position", "clasific": "rank", "competidor": "competitors", "instantan": "snapshot", "experiment": "experiment",
+}
 #: Letters of a word that make its stem, and of the shortest keyword.
 STEM, SHORTEST = 5, 4
 #: Hits that answer an intent; intents of fewer keywords need all of them.
@@ -78,3 +84,14 @@ def grounded_in(facts: Column, neutral: list[str]) -> Callable[[Column], Column]
     """Whether all words of a text are among those of the facts, or neutral ones."""
     known = F.concat(_words(facts), F.array(*map(F.lit, neutral)))
     return lambda text: F.size(F.array_except(_words(text), known)) == 0
+
+
+def search_terms(question: Column) -> Column:
+    """The English terms of a question's Spanish stems, wherever they stand in it, each phrase once; empty for null."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(stem)), F.lit(terms)) for stem, terms in SPANISH_TERMS.items()))))
+
+
+def expanded_question(question: Column) -> Column:
+    """The question with its search terms on a line below; as it is where there are none."""
+    return let(search_terms(question), lambda terms: F.when(F.size(terms) > 0, F.concat(question, F.lit("\n(search terms: "), F.array_join(terms, " "), F.lit(")"))).otherwise(question))

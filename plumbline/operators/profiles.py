@@ -168,3 +168,43 @@ def gap_issues(compared: DataFrame, gap: str) -> DataFrame:
     ]
     listed = compared.select("id", F.posexplode(F.array_compact(F.array(*issues))).alias("i", "x"))
     return listed.select("id", (F.col("i") + 1).alias("at"), "x.*")
+
+
+def price_ranges(items: DataFrame, peers: DataFrame) -> DataFrame:
+    """(id, peers, priced, low, high, median, place) of every item with peers: prices of peers in the item's own known currency.
+
+    ``items`` has (id, price, currency), ``peers`` (target_id, peer_id), a bounded list for each target. Prices that are null or not positive are unknown. place is below, within
+    or above the peers' range, null where either side is unknown.
+    """
+    known = F.when(F.col("price") > 0, F.col("price"))
+    own = items.select(F.col("id").alias("target_id"), known.alias("own"), F.col("currency").alias("own_currency"))
+    theirs = items.select(F.col("id").alias("peer_id"), known.alias("price"), "currency")
+    same = F.when(F.col("currency") == F.col("own_currency"), F.col("price"))
+    sums = peers.join(theirs, "peer_id").join(own, "target_id").groupBy(F.col("target_id").alias("id")).agg(
+        F.count("*").alias("peers"), F.count(same).alias("priced"), F.min(same).alias("low"), F.max(same).alias("high"), F.round(F.median(same), 2).alias("median"),
+        F.first(F.when(F.col("own_currency").isNotNull(), F.col("own"))).alias("own"),
+    )
+    place = F.when(F.col("own") < F.col("low"), "below").when(F.col("own") > F.col("high"), "above").when(F.col("own").isNotNull() & F.col("low").isNotNull(), "within")
+    return sums.withColumn("place", place).drop("own")
+
+
+def side_by_side(items: DataFrame, peers: DataFrame) -> DataFrame:
+    """(target_id, peer_id, price_diff_pct, shared, lacks, extra): each peer beside its target.
+
+    ``items`` has (id, price, currency, stated), stated an array of attributes or null. The difference of prices is in per cent of the target's, one decimal, null
+    unless both are known in one currency; shared counts attributes that both state, lacks and extra list those that only the peer or only the target states.
+    """
+    some = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("stated", F.array().cast("array<string>")))))
+    side = lambda key, x: items.select(F.col("id").alias(key), F.when(F.col("price") > 0, F.col("price")).alias(f"{x}_price"), F.col("currency").alias(f"{x}_currency"), some.alias(x))
+    met = peers.select("target_id", "peer_id").join(side("peer_id", "p"), "peer_id").join(side("target_id", "t"), "target_id")
+    off = F.when(F.col("p_currency") == F.col("t_currency"), F.round(100 * (F.col("p_price") - F.col("t_price")) / F.col("t_price"), 1))
+    return met.select(
+        "target_id", "peer_id", off.alias("price_diff_pct"), F.size(F.array_intersect("t", "p")).alias("shared"), F.array_except("p", "t").alias("lacks"), F.array_except("t", "p").alias("extra")
+    )
+
+
+def unknown_sides(items: DataFrame, peers: DataFrame, column: str) -> DataFrame:
+    """(id, peers, unknown): of each target that states ``column`` how many of its peers do not."""
+    own = items.where(F.col(column).isNotNull()).select(F.col("id").alias("target_id"))
+    theirs = items.select(F.col("id").alias("peer_id"), F.col(column).isNull().alias("unknown"))
+    return peers.join(own, "target_id").join(theirs, "peer_id").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("peers"), F.count_if("unknown").alias("unknown"))

@@ -47,11 +47,20 @@ def intent_keywords(spark, sf_dir: str) -> DataFrame:
     return asked.groupBy("stem").agg(F.count("*").alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_boosts, intent_keywords)}
+def expanded_turns(spark, sf_dir: str) -> DataFrame:
+    """Every turn with English search terms for its Spanish words; the digest tells texts apart."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", "role", F.array_join(k.search_terms(F.col("text")), " ").alias("terms"), F.md5(k.expanded_question(F.col("text"))).alias("expanded"))
+
+
+QUERIES = {f.__name__: f for f in (keyword_boosts, intent_keywords, expanded_turns)}
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in [*k.STOP, *NEUTRAL]) + "]"
+_TERMS = ", ".join(f"CASE WHEN contains(lower(text), '{stem}') THEN '{terms}' END" for stem, terms in k.SPANISH_TERMS.items())
 ORACLE_SQL = {
     "intent_keywords": f"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+'),
           lambda w: length(w) >= {k.SHORTEST} AND NOT regexp_matches(w, '^[0-9]') AND NOT list_contains({_STOP}, w)), lambda w: substr(w, 1, {k.STEM})))) AS stem FROM conversations WHERE role = 'user')
       SELECT stem, count(*) AS turns FROM w GROUP BY 1""",
+    "expanded_turns": f"""WITH w AS (SELECT *, array_to_string(list_filter([{_TERMS}], lambda x, i: x IS NOT NULL AND coalesce(list_position([{_TERMS}], x) = i, false)), ' ') AS terms FROM conversations)
+      SELECT conv_id, turn, role, terms, md5(CASE WHEN terms <> '' THEN text || chr(10) || '(search terms: ' || terms || ')' ELSE text END) AS expanded FROM w""",
 }

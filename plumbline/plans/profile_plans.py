@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import profiles as o
+from plumbline.plans import peer_plans
 from plumbline.storage import materialize, table
 
 #: Attributes that lines speak of, three for each line number.
@@ -90,7 +91,22 @@ def competitor_gap_issues(spark, sf_dir: str) -> DataFrame:
     return o.gap_issues(_compared(spark, sf_dir).join(brands, "id", "left"), "gap").select("id", "at", "kind", "label", "field", "statement", F.array_join("items", ",").alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (competitor_profiles, competitor_medians, competitor_gap_issues)}
+def peer_price_ranges(spark, sf_dir: str) -> DataFrame:
+    return o.price_ranges(peer_plans.items(spark, sf_dir), _peers(spark, sf_dir))
+
+
+def peers_side_by_side(spark, sf_dir: str) -> DataFrame:
+    """Every part beside each of its peers: prices, and attributes that lines state of either."""
+    stated = _lines(spark, sf_dir).where("field is not null").groupBy("id").agg(F.collect_set("field").alias("stated"))
+    rows = o.side_by_side(peer_plans.items(spark, sf_dir).select("id", "price", "currency").join(stated, "id", "left"), _peers(spark, sf_dir))
+    return rows.withColumns({"lacks": F.array_join("lacks", ","), "extra": F.array_join("extra", ",")})
+
+
+def peers_of_unknown_colour(spark, sf_dir: str) -> DataFrame:
+    return o.unknown_sides(peer_plans.items(spark, sf_dir), _peers(spark, sf_dir), "colour")
+
+
+QUERIES = {f.__name__: f for f in (competitor_profiles, competitor_medians, competitor_gap_issues, peer_price_ranges, peers_side_by_side, peers_of_unknown_colour)}
 
 _ATTRIBUTES = "[" + ", ".join(f"'{a}'" for a in ATTRIBUTES) + "]"
 _MARKED = "[" + ", ".join(f"'{a}'" for a in MARKED) + "]"
@@ -137,9 +153,10 @@ PROFILES = f"""l AS (SELECT l_partkey AS id, l_suppkey, {_ATTRIBUTES}[(l_linenum
       LEFT JOIN eg ON eg.domain = rec.domain AND eg.grp = rec.grp LEFT JOIN ec ON ec.code = rec.code)"""
 _MEDIANS = ", ".join(f"round(median(p.{m}), 1)::DOUBLE AS peer_{m}" for m in o.NUMERIC)
 _USUAL = "list_filter([" + ", ".join(f"CASE WHEN count(*) FILTER (list_contains(p.stated, '{a}')) > 0.5 * count(*) THEN '{a}' END" for a in ATTRIBUTES) + "], lambda x: x IS NOT NULL)"
-COMPARED = f"""{PROFILES}, b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+_PEERS = f"""b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
   q AS (SELECT x.l_partkey AS target_id, y.l_partkey AS peer_id, count(*) AS times FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey GROUP BY 1, 2),
-  k AS (SELECT target_id, peer_id FROM q QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY times DESC, peer_id) <= {PEERS}),
+  k AS (SELECT target_id, peer_id FROM q QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY times DESC, peer_id) <= {PEERS})"""
+COMPARED = f"""{PROFILES}, {_PEERS},
   ms AS (SELECT t.id, count(*) AS n, {_MEDIANS}, round_even(median(p.level) FILTER (p.language = t.language), 0)::INT AS peer_level, list_sort(list_distinct(flatten(list(p.marked)))) AS peer_marked, {_USUAL} AS usual
     FROM k JOIN pf p ON p.id = peer_id JOIN pf t ON t.id = target_id GROUP BY 1),
   cp AS (SELECT pf.*, coalesce(n, 0) AS peers, ms.* EXCLUDE (id, n) FROM pf LEFT JOIN ms USING (id))"""
@@ -161,4 +178,12 @@ ORACLE_SQL = {
           UNION ALL SELECT id, 8, 'independent_evidence', 'UNKNOWN', 'independent_evidence', 'evidence of others is not measured', '' FROM c WHERE independent_evidence IS NULL
           UNION ALL SELECT id, 9, 'visibility_effect', 'UNKNOWN', 'visibility_effect', 'whether closing the gaps changes visibility is unmeasured', '' FROM c)
       SELECT id, (row_number() OVER (PARTITION BY id ORDER BY "at"))::INT AS "at", kind, label, field, statement, items FROM i""",
+    "peer_price_ranges": f"""WITH {peer_plans.ITEMS}, {_PEERS}, s AS (SELECT target_id AS id, count(*) AS peers, count(c.price) FILTER (c.currency = t.currency) AS priced, min(c.price) FILTER (c.currency = t.currency) AS low,
+          max(c.price) FILTER (c.currency = t.currency) AS high, round(median(c.price) FILTER (c.currency = t.currency), 2) AS median, any_value(CASE WHEN t.currency IS NOT NULL THEN t.price END) AS own FROM k JOIN i c ON c.id = peer_id JOIN t ON t.id = target_id GROUP BY 1)
+      SELECT id, peers, priced, low, high, median, CASE WHEN own < low THEN 'below' WHEN own > high THEN 'above' WHEN own IS NOT NULL AND low IS NOT NULL THEN 'within' END AS place FROM s""",
+    "peers_side_by_side": f"""WITH {peer_plans.ITEMS}, {_PEERS}, s AS (SELECT l_partkey AS id, list_sort(list_filter(list_distinct(list({_ATTRIBUTES}[(l_linenumber - 1) * 3 + l_suppkey % 3 + 1])), lambda x: x IS NOT NULL)) AS stated FROM lineitem GROUP BY 1),
+        j AS (SELECT i.*, coalesce(stated, []) AS stated FROM i LEFT JOIN s USING (id))
+      SELECT target_id, peer_id, CASE WHEN p.currency = g.currency THEN round(100 * (p.price - g.price) / g.price, 1) END AS price_diff_pct, len(list_intersect(g.stated, p.stated)) AS shared,
+        array_to_string(list_filter(p.stated, lambda x: NOT list_contains(g.stated, x)), ',') AS lacks, array_to_string(list_filter(g.stated, lambda x: NOT list_contains(p.stated, x)), ',') AS extra FROM k JOIN j p ON p.id = peer_id JOIN j g ON g.id = target_id""",
+    "peers_of_unknown_colour": f"""WITH {peer_plans.ITEMS}, {_PEERS} SELECT target_id AS id, count(*) AS peers, count(*) FILTER (c.colour IS NULL) AS unknown FROM k JOIN t ON t.id = target_id JOIN i c ON c.id = peer_id WHERE t.colour IS NOT NULL GROUP BY 1""",
 }

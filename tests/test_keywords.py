@@ -73,3 +73,12 @@ def test_keywords_and_coverage(spark):
     listed = F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in (["cotto", "shirt"], ["cotto"], [], ["wool", "silk", "cotto"])))
     rows = spark.createDataFrame([("Cotton shirts",), ("cotton",), ("silk & wool",), (None,)], "text string").select(k.coverage(F.col("text"), listed).alias("c"), k.coverage(F.col("text"), F.array().cast("array<array<string>>")).alias("none")).collect()
     assert [r.c for r in rows] == [0.5, 0.25, 0.25, 0.0] and all(r.none is None for r in rows)
+
+
+def test_search_terms(spark):
+    texts = ["¿Qué ha CAMBIADO en el precio?", "tendencia y evolución", "no Spanish stems", "", None, "bajó y disminuyó", "precios precio"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", k.search_terms(F.col("text")).alias("terms"), k.expanded_question(F.col("text")).alias("x")).collect()
+    got = {r.i: (list(r.terms), r.x) for r in rows}
+    assert got[0] == (["change trend", "price"], texts[0] + "\n(search terms: change trend price)")
+    assert got[1][0] == ["trend", "trend history"]
+    assert got[2] == ([], texts[2]) and got[3] == ([], "") and got[4] == ([], None) and got[5][0] == ["decreased"] and got[6][0] == ["price"]

@@ -99,3 +99,21 @@ def test_empty_tables(spark, records):
     compared = o.against_peers(found, spark.createDataFrame([], "target_id long, peer_id long"), ["fit"])
     kinds = [r.kind for r in o.gap_issues(compared.withColumn("gap", F.lit(None).cast("double")), "gap").orderBy("at").collect()]
     assert kinds == (["independent_evidence", "visibility_effect"] if records else [])
+
+
+def test_prices_and_attributes_of_peers(spark):
+    rows = [(1, 10.0, "EUR", ["fit", "size", None]), (2, 12.0, "EUR", ["fit", "fit", "gtin"]), (3, -1.0, "EUR", None), (4, 8.0, "USD", []), (5, 9.0, None, ["care"]), (6, None, "EUR", ["fit"]), (7, 10.0, "EUR", [])]
+    items = spark.createDataFrame(rows, "id int, price double, currency string, stated array<string>")
+    peers = spark.createDataFrame([(1, p) for p in (2, 3, 4, 5, 7, 99)] + [(2, 1), (2, 7), (3, 1), (4, 1), (5, 1), (6, 3), (77, 1)], "target_id int, peer_id int")
+    got = {r.id: (r.peers, r.priced, r.low, r.high, r.median, r.place) for r in o.price_ranges(items, peers).collect()}
+    assert got == {
+        1: (5, 2, 10.0, 12.0, 11.0, "within"), 2: (2, 2, 10.0, 10.0, 10.0, "above"), 3: (1, 1, 10.0, 10.0, 10.0, None), 4: (1, 0, None, None, None, None), 5: (1, 0, None, None, None, None),
+        6: (1, 0, None, None, None, None),
+    }
+    pairs = {(r.target_id, r.peer_id): (r.price_diff_pct, r.shared, list(r.lacks), list(r.extra)) for r in o.side_by_side(items, peers).collect()}
+    assert pairs[1, 2] == (20.0, 1, ["gtin"], ["size"]) and pairs[1, 3] == (None, 0, [], ["fit", "size"]) and pairs[1, 4] == (None, 0, [], ["fit", "size"]) and pairs[5, 1] == (None, 0, ["fit", "size"], ["care"]) and pairs[2, 1][0] == -16.7
+    assert len(pairs) == 11
+    sides = {r.id: (r.peers, r.unknown) for r in o.unknown_sides(items, peers, "currency").collect()}
+    assert sides == {1: (5, 1), 2: (2, 0), 3: (1, 0), 4: (1, 0), 6: (1, 0)}
+    none = items.where("false")
+    assert o.price_ranges(none, peers).count() == o.side_by_side(none, peers).count() == o.unknown_sides(none, peers, "currency").count() == 0
