@@ -121,3 +121,10 @@ def test_diffs_of_versions(spark):
     found = histories.version_diffs(spark.createDataFrame(rows, "id int, at int, text string"), ["id"], ["at"], "text").collect()
     assert sorted((r.id, r["at"], r.added, r.removed) for r in found) == [(1, 2, 1, 1), (1, 4, 0, 3), (3, 2, 1, 0)]
     assert next(r["diff"] for r in found if (r.id, r["at"]) == (1, 2)) == "--- before\n+++ after\n@@ -1,3 +1,3 @@\n A.\n-B.\n C.\n+D."
+
+
+def test_pages_of_one_address_and_fragment_stay_apart(spark, tmp_path):
+    """Two pages whose addresses differ in nothing, fragment included, were fetched as one."""
+    rows = [(1, "https://a.example/x#top", "<p>1"), (2, "https://a.example/x#top", "<p>2"), (3, "https://a.example/x?y=1#top", "<p>3"), (4, "https://a.example/x", "<p>4")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in QUERIES["archived_pages"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
