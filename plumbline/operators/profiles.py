@@ -129,7 +129,10 @@ def against_peers(found: DataFrame, peers: DataFrame, attributes: list[str]) ->
 
 
 def _number(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit("not measured"))
+    """A number as people write it, without an exponent below a thousandth."""
+    small = (F.abs(c) < 0.001) & (F.col(c) != 0)
+    plain = F.regexp_replace(F.col(c).cast("decimal(20,10)").cast("string"), "0+$", "")
+    return F.coalesce(F.when(small, plain).otherwise(F.col(c).cast("string")), F.lit("not measured"))
 
 
 def gap_issues(compared: DataFrame, gap: str) -> DataFrame:

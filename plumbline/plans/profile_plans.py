@@ -67,7 +67,10 @@ def _gaps_of_visibility(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang in ('en', 'es')").select("doc_id", "lang")
     rated = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_brand"), "doc_id")
     mean = lambda lang: F.avg(F.when(F.col("lang") == lang, F.col("quality")))
-    return rated.groupBy("p_brand").agg(F.round(mean("en") - mean("es"), 4).alias("gap"))
+    means = rated.groupBy("p_brand").agg((mean("en") - mean("es")).alias("gap"))
+    rounded = F.round("gap", 4)
+    # A lead too small for four decimals keeps its sign, as in SQL.
+    return means.select("p_brand", F.when((rounded == 0) & (F.col("gap") < 0), F.lit(-0.0)).otherwise(rounded).alias("gap"))
 
 
 def _compared(spark, sf_dir: str) -> DataFrame:

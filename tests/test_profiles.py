@@ -117,3 +117,21 @@ def test_prices_and_attributes_of_peers(spark):
     assert sides == {1: (5, 1), 2: (2, 0), 3: (1, 0), 4: (1, 0), 6: (1, 0)}
     none = items.where("false")
     assert o.price_ranges(none, peers).count() == o.side_by_side(none, peers).count() == o.unknown_sides(none, peers, "currency").count() == 0
+
+
+def test_small_numbers_of_statements_have_no_exponent(spark):
+    """A measured gap of 0.0005 was written as 5.0E-4."""
+    rows = spark.createDataFrame([(0.0005,), (-0.0005,), (0.0012,), (0.5,), (0.0,), (-0.0,), (100.0,), (None,)], "x double")
+    got = [r.n for r in rows.select(o._number("x").alias("n")).collect()]
+    assert got == ["0.0005", "-0.0005", "0.0012", "0.5", "0.0", "-0.0", "100.0", "not measured"]
+
+
+def test_gaps_of_visibility_keep_the_sign_of_a_small_lead(spark, tmp_path):
+    from plumbline.plans import profile_plans
+
+    n = 40_000
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "en").otherwise("es").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when((F.col("id") % n == 0) & (F.col("id") < n), 0).otherwise(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(2 * n).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    assert [str(r.gap) for r in profile_plans._gaps_of_visibility(spark, str(tmp_path)).collect()] == ["-0.0"]
