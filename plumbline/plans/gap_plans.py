@@ -47,7 +47,7 @@ def listing_completeness(spark, sf_dir: str) -> DataFrame:
 
 def _peers(spark, sf_dir: str) -> DataFrame:
     """(target_id, peer_id) of each item's ten best peers."""
-    return p.top_peers(peer_plans._pairs(spark, sf_dir)).select("target_id", "peer_id")
+    return peer_plans.top(spark, sf_dir).select("target_id", "peer_id")
 
 
 def attribute_peer_gaps(spark, sf_dir: str) -> DataFrame:

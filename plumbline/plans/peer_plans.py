@@ -26,20 +26,20 @@ def items(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def _pairs(spark, sf_dir: str) -> DataFrame:
-    return p.peer_pairs(items(spark, sf_dir), items(spark, sf_dir), ["p_type"], ["colour"], ["p_brand", "thing"], BAND, "live")
+def top(spark, sf_dir: str, k: int = 10) -> DataFrame:
+    """The best peers of every item."""
+    return p.nearest_peers(items(spark, sf_dir), items(spark, sf_dir), ["p_type"], ["colour"], ["p_brand", "thing"], BAND, "live", k)
 
 
 def find_peers_topk(spark, sf_dir: str) -> DataFrame:
-    return p.top_peers(_pairs(spark, sf_dir)).select("target_id", "rank", "peer_id", "score", r4(F.col("diff"), "diff"))
+    return top(spark, sf_dir).select("target_id", "rank", "peer_id", "score", r4(F.col("diff"), "diff"))
 
 
 def find_peers_widened(spark, sf_dir: str) -> DataFrame:
-    """The first of four looser steps that gives an item enough peers; only the strictest compares prices and so needs pairs."""
+    """The first of four looser steps that gives an item enough peers; only the strictest compares prices."""
     every = items(spark, sf_dir)
-    exact = p.peer_pairs(every, every, ["p_type", "p_brand"], ["colour"], [], BAND).groupBy("target_id").agg(F.count("*").alias("n"))
     steps = [
-        ("exact", exact),
+        ("exact", p.peer_counts(every, ["p_type", "p_brand"], ["colour"], BAND)),
         ("no_price_band", p.eligible_counts(every, ["p_type", "p_brand"], ["colour"])),
         ("no_colour", p.eligible_counts(every, ["p_type", "p_brand"], [])),
         ("any_brand", p.eligible_counts(every, ["p_type"], [])),
@@ -71,7 +71,7 @@ def similar_peers_weighted(spark, sf_dir: str) -> DataFrame:
 
 
 def peer_frequency(spark, sf_dir: str) -> DataFrame:
-    return p.top_peers(_pairs(spark, sf_dir), 5).groupBy("peer_id").agg(F.count("*").alias("times"))
+    return top(spark, sf_dir, 5).groupBy("peer_id").agg(F.count("*").alias("times"))
 
 
 def _flagged(spark, sf_dir: str) -> DataFrame:
@@ -92,10 +92,9 @@ def listing_quality_rank(spark, sf_dir: str) -> DataFrame:
 
 def _peer_flags(spark, sf_dir: str) -> DataFrame:
     rows = _flagged(spark, sf_dir)
-    top = p.top_peers(_pairs(spark, sf_dir)).select("target_id", "peer_id")
     own = rows.select(F.col("id").alias("target_id"), *(F.col(f).alias(f"t_{f}") for f in FLAGS))
     theirs = rows.select(F.col("id").alias("peer_id"), F.col("p_size").alias("peer_size"), *(F.col(f).alias(f"p_{f}") for f in FLAGS))
-    return top.join(theirs, "peer_id").join(own, "target_id")
+    return top(spark, sf_dir).select("target_id", "peer_id").join(theirs, "peer_id").join(own, "target_id")
 
 
 def attribute_gap_majority(spark, sf_dir: str) -> DataFrame:
