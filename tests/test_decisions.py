@@ -218,3 +218,26 @@ def test_sentences_of_awkward_answers(spark):
     for r in matching.attributed_sentences(answers, products, "id", "text").collect():
         got[r.id].append((r.line_no, r.sentence_no, r.product_id))
     assert {k: sorted(v) for k, v in got.items()} == {3: [(0, 0, 3), (0, 1, 3), (0, 2, 3), (1, 0, 3)], 5: [(1, 0, 2), (1, 1, 2)], 6: [(0, 0, 3), (0, 1, 3), (2, 0, 3)], 7: [(0, 0, 1), (0, 1, 1)]}
+
+
+def test_lines_meet_names_and_not_all_products_of_a_name(spark, monkeypatch):
+    """Sixty products of one brand and name gave sixty rows a line that names them."""
+    catalog = [(i, "Acme", "Cloud Tee", "", f"s{i % 59}.example", ["Lone"] if i == 7 else ["Pair"] if i in (8, 9) else []) for i in range(60)] + [(99, "", "Cloud Tee", "", None, [])]
+    products = spark.createDataFrame(catalog, "product_id long, brand string, name string, url string, site string, aliases array<string>")
+    texts = ["Acme Cloud Tee", "Acme Cloud Tee at s1.example", "Acme Cloud Tee at s0.example", "Lone", "a Pair", "a Pair of s8.example", "Lone Acme Cloud Tee", "Acme Cloud Tee at s3.example and s4.example"]
+    answers = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows, write = {}, matching.materialize
+
+    def counting(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "materialize", counting)
+    mentions, unmatched = matching.match_answers(answers, products, "id", "text")
+    got = defaultdict(set)
+    for r in mentions.collect():
+        got[r.id].add(r.product_id)
+    assert dict(got) == {0: {99}, 1: {1, 99}, 2: {99}, 3: {7}, 5: {8}, 6: {99}, 7: {99}}
+    assert sorted(r.id for r in unmatched.where("kind = 'ambiguous'").collect()) == [0, 2, 4, 6, 7]
+    assert rows["named"] <= 2 * len(texts)
