@@ -82,8 +82,17 @@ def boosted_title(title: Column, candidates: Column, grounded: Callable[[Column]
 
 def grounded_in(facts: Column, neutral: list[str]) -> Callable[[Column], Column]:
     """Whether all words of a text are among those of the facts, or neutral ones."""
-    known = F.concat(_words(facts), F.array(*map(F.lit, neutral)))
-    return lambda text: F.size(F.array_except(_words(text), known)) == 0
+    return grounded_by(_words(facts), neutral)
+
+
+def fact_words(facts: Column) -> Column:
+    """The words of facts, as ``grounded_by`` takes them; worth a column of its own where many texts are held to them."""
+    return F.array_distinct(_words(facts))
+
+
+def grounded_by(known: Column, neutral: list[str]) -> Callable[[Column], Column]:
+    """Whether all words of a text are among the ``known`` ones, an array, or neutral."""
+    return lambda text: F.size(F.array_except(F.array_except(_words(text), F.array(*map(F.lit, neutral))), known)) == 0
 
 
 def search_terms(question: Column) -> Column:

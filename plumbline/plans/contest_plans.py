@@ -12,7 +12,7 @@ from plumbline.operators import contests, selection
 from plumbline.plans import keyword_plans
 from plumbline.plans.attribute_plans import FABRIC
 from plumbline.sources.files import append_jsonl
-from plumbline.storage import materialize, scratch_path, table
+from plumbline.storage import materialize, scratch_path, spread, table
 
 #: Words of facts in the other language.
 FOREIGN = ["camiseta", "algodon", "lana", "pequeno", "rojo"]
@@ -30,9 +30,9 @@ def _measured(spark, sf_dir: str) -> DataFrame:
 def _candidates(spark, sf_dir: str) -> DataFrame:
     """(p_partkey, generator, title, tag list, text, language, marked, facts...): the copy of each generator and what is known of the part."""
     known = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size", F.expr(FABRIC).alias("fabric"))
-    titled = keyword_plans._titles(spark, sf_dir).select("p_partkey", F.col("title").alias("named"), "facts", "candidates")
-    rows = known.join(titled, "p_partkey")
-    boosted = k.boosted_title(F.col("named"), F.col("candidates"), k.grounded_in(F.col("facts"), NEUTRAL))["text"]
+    titled = keyword_plans._titles(spark, sf_dir).select("p_partkey", F.col("title").alias("named"), "facts", F.col("own").alias("named_in"), "candidates")
+    rows = spread(known.join(titled, "p_partkey").withColumn("own", F.concat("named_in", F.array_compact(F.array(F.col("p_size").cast("string"), F.lit("made"))))), "p_partkey")
+    boosted = k.boosted_title(F.col("named"), F.col("candidates"), k.grounded_by(F.col("named_in"), NEUTRAL))["text"]
     thing = F.split("p_name", " ")[1]
     copy = lambda name, title, tags, text: F.struct(F.lit(name).alias("generator"), title.alias("title"), tags.alias("tag_list"), text.alias("text"))
     plain = F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(". Made of "), "fabric", F.lit("."))
@@ -45,16 +45,16 @@ def _candidates(spark, sf_dir: str) -> DataFrame:
     )
     language = F.when(F.col("p_size") % 2 == 0, "en").otherwise("es")
     marked = F.when(F.col("p_size") > 10, F.array(F.lit("name"), F.lit("brand"), F.when(F.col("p_size") > 25, F.lit("gtin")).otherwise(F.lit("sku"))))
-    return rows.select("p_partkey", "p_brand", "p_name", "p_type", "p_size", "fabric", "facts", language.alias("language"), marked.alias("marked"), F.explode(copies).alias("x")).select("*", "x.*").drop("x")
+    return rows.select("p_partkey", "p_brand", "p_name", "p_type", "p_size", "fabric", "facts", "own", language.alias("language"), marked.alias("marked"), F.explode(copies).alias("x")).select("*", "x.*").drop("x")
 
 
 def _grounded():
-    return k.grounded_in(F.concat_ws(" ", "facts", F.col("p_size").cast("string"), F.lit("made")), NEUTRAL)
+    return k.grounded_by(F.col("own"), NEUTRAL)
 
 
 def _audited(spark, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
-    intents = F.array(*(k.keywords(F.lit(phrase)) for phrase in keyword_plans.SHARED))
+    intents = keyword_plans.intents(spark)
     wanted = F.array_distinct(F.flatten(intents))
     fit = F.when(F.col("p_size") <= 25, F.split("p_name", " ")[0])
     out = rows.select(
@@ -94,7 +94,7 @@ def _tried(spark, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).where(~((F.col("p_size") <= 5) & (F.col("generator") == GENERATORS[0])) & ~((F.col("p_size") <= 20) & (F.col("generator") == GENERATORS[1])))
     order = F.array_position(F.array(*map(F.lit, GENERATORS[::-1])), F.col("generator"))
     return rows.select(
-        "p_partkey", "facts", "p_size", "title", "text", F.ceil(order / 2).cast("int").alias("round"), order.cast("int").alias("order"), a.plain_words(F.col("facts")).alias("targets"),
+        "p_partkey", "facts", "own", "p_size", "title", "text", F.ceil(order / 2).cast("int").alias("round"), order.cast("int").alias("order"), a.plain_words(F.col("facts")).alias("targets"),
         F.concat_ws(" ", "p_brand", "p_name").alias("fallback_title"), F.array(F.concat_ws(" ", "p_brand", "p_name"), F.concat(F.lit("Made of "), "fabric")).alias("known_facts"),
     ).withColumn("facts_text", F.col("facts"))
 
@@ -108,7 +108,7 @@ def selected_copy(spark, sf_dir: str) -> DataFrame:
     """The copy chosen for every part, with what was cut, and what would still keep it from being published (nothing)."""
     scored = _scored(spark, sf_dir)
     chosen = selection.selected_copy(scored, "p_partkey")
-    facts = scored.groupBy("p_partkey").agg(F.min("facts_text").alias("facts"), F.min("p_size").alias("p_size"))
+    facts = scored.groupBy("p_partkey").agg(F.first("own").alias("own"))  # the same for all of a part's rows
     left = selection.ungrounded(chosen.join(facts, "p_partkey"), "p_partkey", _grounded()).groupBy("p_partkey").agg(F.count("*").alias("problems"))
     return chosen.join(left, "p_partkey", "left").select(
         "p_partkey", "round", "title", "text", F.array_join("removed", "|").alias("removed"), "passed", "total", "attempts_until", "used_fallback", F.coalesce("problems", F.lit(0)).alias("problems")

@@ -10,7 +10,7 @@ from plumbline.functions.guard import NEUTRAL
 from plumbline.functions.text import word_tokens
 from plumbline.operators import retrieval
 from plumbline.plans.attribute_plans import FABRIC
-from plumbline.storage import table
+from plumbline.storage import spread, table
 
 # Keywords that shoppers share, in order of priority.
 SHARED = ["t-shirt", "oversized", "organic cotton", "cotton", "unisex", "crew neck", "short sleeve", "printed"]
@@ -19,7 +19,7 @@ OF_BRAND = 8
 
 
 def _titles(spark, sf_dir: str) -> DataFrame:
-    """(p_partkey, title, facts, candidates): the shared keywords, then the words of the brand's names by how many parts have them."""
+    """(p_partkey, title, facts, own, candidates): own are the words of the facts; candidates the shared keywords, then the words of the brand's names by how many parts have them."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", F.col("p_type"), F.expr(FABRIC).alias("fabric"))
     words = part.select("p_brand", F.explode(F.array_distinct(word_tokens(F.concat_ws(" ", "p_name", "p_type", "fabric")))).alias("word")).where("word rlike '^[a-z]'")
     counted = words.groupBy("p_brand", "word").agg(F.count("*").alias("n"))
@@ -27,18 +27,24 @@ def _titles(spark, sf_dir: str) -> DataFrame:
     common = top.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).getField("word").alias("common"))
     title = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" - "), "p_name")).otherwise(F.col("p_name"))
     rows = part.join(common, "p_brand", "left").select(
-        "p_partkey", title.alias("title"), F.concat_ws(" ", "p_brand", "p_name", "p_type", "fabric").alias("facts"),
+        "p_partkey", title.alias("title"), F.concat_ws(" ", "p_brand", "p_name", "p_type", "fabric").alias("facts"), k.fact_words(F.concat_ws(" ", "p_brand", "p_name", "p_type", "fabric")).alias("own"),
         F.array_distinct(F.concat(F.array(*map(F.lit, SHARED)), F.coalesce("common", F.array().cast("array<string>")))).alias("candidates"),
     )
-    return rows
+    return spread(rows, "p_partkey")
+
+
+def intents(spark):
+    """The stems of each shared keyword, as a constant."""
+    found = spark.range(1).select(F.array(*(k.keywords(F.lit(phrase)) for phrase in SHARED)).alias("x")).first().x
+    return F.array(*(F.array(*map(F.lit, stems)).cast("array<string>") for stems in found))
 
 
 def keyword_boosts(spark, sf_dir: str) -> DataFrame:
     """Titles with grounded keywords, and how many of the shared ones they answer before and after."""
-    grown = k.boosted_title(F.col("title"), F.col("candidates"), k.grounded_in(F.col("facts"), NEUTRAL))
-    intents = F.array(*(k.keywords(F.lit(phrase)) for phrase in SHARED))
+    grown = k.boosted_title(F.col("title"), F.col("candidates"), k.grounded_by(F.col("own"), NEUTRAL))
+    wanted = intents(spark)
     rows = _titles(spark, sf_dir).withColumn("grown", grown)
-    return rows.select("p_partkey", F.col("grown.text").alias("title"), F.array_join("grown.added", ",").alias("added"), k.coverage(F.col("title"), intents).alias("before"), k.coverage(F.col("grown.text"), intents).alias("after"))
+    return rows.select("p_partkey", F.col("grown.text").alias("title"), F.array_join("grown.added", ",").alias("added"), k.coverage(F.col("title"), wanted).alias("before"), k.coverage(F.col("grown.text"), wanted).alias("after"))
 
 
 def intent_keywords(spark, sf_dir: str) -> DataFrame:

@@ -163,3 +163,16 @@ def test_ties_and_nobody_passes(spark):
     ranks = {r.generator: (r.qualified, r.rank) for r in contests.generator_summary(rows).collect()}
     assert ranks == {"a": (False, None), "b": (False, None), "c": (True, 1)}
     assert contests.part_winners(rows.where("false"), "id").count() == 0 and contests.generator_summary(rows.where("false")).count() == 0
+
+
+def test_copy_is_made_and_judged_in_as_many_tasks_as_a_shuffle_has(spark, sf_dir):
+    """All parts' copy, a small file, was made and audited by one task; words of facts were folded again for every text."""
+    from plumbline.functions import keywords as k
+    from plumbline.plans import contest_plans, keyword_plans
+
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert keyword_plans._titles(spark, sf_dir).rdd.getNumPartitions() == wanted
+    assert contest_plans._candidates(spark, sf_dir).rdd.getNumPartitions() == wanted
+    rows = spark.createDataFrame([("Red Wool", "a red wool"), ("Red Wool", "a blue wool"), ("Red Wool", ""), (None, "red"), ("", None)], "facts string, text string")
+    by, within = k.grounded_by(k.fact_words(F.col("facts")), ["a"]), k.grounded_in(F.col("facts"), ["a"])
+    assert [tuple(r) for r in rows.select(by(F.col("text")), within(F.col("text"))).collect()] == [(True, True), (False, False), (True, True), (False, False), (True, True)]
