@@ -18,7 +18,7 @@ from plumbline.functions import listings as g
 from plumbline.functions import text as t
 from plumbline.functions import urls
 from plumbline.functions import vocabulary as v
-from plumbline.storage import table
+from plumbline.storage import spread, table
 
 
 @dataclass
@@ -37,7 +37,7 @@ class Cases:
         names = self.names(self.given)
         texts = [(i, *row[: len(names)]) for i, row in enumerate(self.rows)]
         filed = spark.createDataFrame(texts, f"i long, {self.given}")
-        parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(texts)).alias("i"))
+        parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(texts)).alias("i"))
         found = self.build(*map(F.col, names))
         aliased = [x.alias(name) for x, name in zip(found, self.names(self.out), strict=True)]
         return parts.join(F.broadcast(filed), "i").select("p_partkey", *aliased)  # a few texts, all stated in this file

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plumbline.sources import files
-from plumbline.storage import scratch_path, table
+from plumbline.storage import scratch_path, spread, table
 
 CUSTOMER = StructType([StructField("c_custkey", LongType()), StructField("c_name", StringType()), StructField("c_mktsegment", StringType())])
 
@@ -92,7 +92,7 @@ def _quads(spark, sf_dir: str) -> DataFrame:
         F.concat(F.lit("_:o"), "p_partkey", F.lit(f" {kind} <http://schema.org/Product> "), page, F.lit(" .")),
         F.lit("this is no statement"),
     )
-    return table(spark, sf_dir, "part").select(F.explode(lines).alias("value"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(F.explode(lines).alias("value"))
 
 
 def quads_parsed(spark, sf_dir: str) -> DataFrame:
