@@ -11,7 +11,7 @@ from plumbline.functions import listings as g
 from plumbline.functions import text as t
 from plumbline.functions import urls
 from plumbline.functions import vocabulary as v
-from plumbline.storage import table
+from plumbline.storage import spread, table
 
 VOCABULARIES = {
     "fit": v.FIT, "sleeve": v.SLEEVE, "neckline": v.NECKLINE, "pattern": v.PATTERN, "product_type": v.PRODUCT_TYPE, "audience": v.AUDIENCE, "fabric_type": v.FABRIC_TYPE,
@@ -37,7 +37,7 @@ def _listings(spark, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     phrase = F.get(F.array(*map(F.lit, PHRASES)), (F.col("l_partkey") % len(PHRASES)).cast("int"))
     said = lines.withColumn("said", F.replace(phrase, F.lit("#"), F.col("l_quantity").cast("int").cast("string")))
-    listed = said.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "said"))).getField("said").alias("xs"))
+    listed = spread(said.drop("l_quantity"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "said"))).getField("said").alias("xs"))
     return listed.select("l_orderkey", F.get("xs", F.lit(0)).alias("title"), F.array_join(F.slice("xs", 2, F.size("xs")), ". ").alias("description"))
 
 
@@ -49,11 +49,11 @@ def listing_attributes(spark, sf_dir: str) -> DataFrame:
     for name, vocabulary in VOCABULARIES.items():
         found += [F.array_join(v.all_hits(whole, vocabulary), ",").alias(name), v.first_hit([title, rest], vocabulary).alias(f"{name}_first")]
     sleeve = v.first_hit([title, rest], v.SLEEVE)
-    goods = v.goods_type([title, rest], sleeve)
-    return _listings(spark, sf_dir).select(
+    read = _listings(spark, sf_dir).select(
         "l_orderkey", *found, v.color(title).alias("color"), F.array_join(v.care(whole), ",").alias("care"), v.settled_type([title, rest], sleeve).alias("settled"),
-        goods["kind"].alias("kind"), goods["type"].alias("type"),
+        v.goods_type([title, rest], sleeve).alias("goods"),
     )
+    return read.select("*", "goods.kind", "goods.type").drop("goods")
 
 
 def listing_decisions(spark, sf_dir: str) -> DataFrame:

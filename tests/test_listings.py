@@ -3,6 +3,8 @@
 import re
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from plumbline.functions import listings as g
 from plumbline.functions import vocabulary as v
 from plumbline.plans import listing_plans as p
@@ -115,3 +117,13 @@ def test_page_checks_equal_plain_python(spark, sf_dir):
             "challenge": r.page_id % 7 == 0 or has(g.CHALLENGE_TITLE, re.search("(?is)<title[^>]*>(.*?)</title>", r.html).group(1)),
         }, r.url
     assert {True, False} == {x["allowed"] for x in got.values()}
+
+
+def test_stems_rule_out_nothing_that_fits(spark):
+    tables = [*p.VOCABULARIES.values(), v.COLORS, v.CARE, v.EXTRA_SHIRT, v.NON_SHIRT]
+    assert all(len(stem) > 1 for t in tables for _, pattern in t for stem in v.stems(pattern)) and all(v.stems(pattern) for t in tables for _, pattern in t)
+    texts = ["OVER\u017fized HENLEY", "\u212aids", "STR\u0130PED", "str\u0131ped knit", "PIQU\u00c9 Ni\u00d1os", "", None, "Mangas CORTAS 3/4 sleeves", "jersey de ALGOD\u00d3N"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for t in tables:
+        plain = F.array_compact(F.array(*(F.when(v.matches(F.col("text"), x), F.lit(y)) for y, x in t)))
+        assert rows.select(v.all_hits(F.col("text"), t).alias("x")).collect() == rows.select(plain.alias("x")).collect()
