@@ -36,33 +36,39 @@ def analysis(text: Column, brand: Column, name: Column, url: Column, site: Colum
     the place among the answer's list items, null if it is named in prose only; others are the brands of the items that do not name it.
     """
     text, brand, name, url, site = (F.coalesce(c, F.lit("")) for c in (text, brand, name, url, F.lower(site)))
-    short = F.length(F.trim(norm(brand))) < BRAND_LETTERS
+    # What is looked for is folded once an answer, not once a line.
+    wanted = F.struct(norm(brand).alias("brand"), norm(name).alias("name"), norm(site).alias("site"), urls.mention_key(url).alias("key"))
 
     def addresses(line: Column) -> Column:
-        return F.transform(F.regexp_extract_all(line, F.lit(f"({URL})"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!?]+$", ""))
+        found = F.transform(F.regexp_extract_all(line, F.lit(f"({URL})"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!?]+$", ""))
+        return F.when(F.contains(line, F.lit("://")), found).otherwise(F.array().cast("array<string>"))
 
-    same = lambda u: (url != "") & (urls.mention_key(u) == urls.mention_key(url))
+    def analysed(w: Column) -> Column:
+        same = lambda u: (url != "") & (urls.mention_key(u) == w["key"])
 
-    def named(line: Column) -> Column:
-        def holds(n: Column) -> Column:
-            whole = lambda phrase: (F.trim(norm(phrase)) != "") & F.contains(n, norm(phrase))
-            return (~short & whole(brand)) | whole(site) | (whole(name) & F.contains(n, norm(brand)))
+        def named(line: Column) -> Column:
+            def holds(n: Column) -> Column:
+                whole = lambda phrase: (F.trim(phrase) != "") & F.contains(n, phrase)
+                return ((F.length(F.trim(w["brand"])) >= BRAND_LETTERS) & whole(w["brand"])) | whole(w["site"]) | (whole(w["name"]) & F.contains(n, w["brand"]))
 
-        return let(norm(line), holds) | F.exists(addresses(line), same)
+            return let(norm(line), holds) | F.exists(addresses(line), same)
 
-    def judged(lines: Column) -> Column:
-        found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, LIST_ITEM, 1)), lambda x: x != "")
-        items = F.transform(found, lambda x: F.struct(x.alias("item"), (named(x) | ((site != "") & F.contains(F.lower(x), site))).alias("ours")))
-        cited = (site != "") & F.exists(addresses(text), lambda u: (urls.host(u) == site) | same(u))
+        def judged(lines: Column) -> Column:
+            found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, LIST_ITEM, 1)), lambda x: x != "")
+            items = F.transform(found, lambda x: F.struct(x.alias("item"), (named(x) | ((site != "") & F.contains(F.lower(x), site))).alias("ours")))
+            cited = (site != "") & F.exists(addresses(text), lambda u: (urls.host(u) == site) | same(u))
 
-        def result(xs: Column) -> Column:
-            place = F.array_position(F.transform(xs, lambda x: x["ours"]), True)
-            foreign = F.transform(F.filter(xs, lambda x: ~x["ours"]), lambda x: item_brand(x["item"]))
-            return F.struct(
-                (F.exists(lines, named) | cited | (place > 0)).alias("mentioned"), cited.alias("cited"), F.when(place > 0, place.cast("int")).alias("position"),
-                F.filter(foreign, lambda b: (b != "") & (norm(b) != norm(brand))).alias("others"),
-            )
+            def result(x: Column) -> Column:
+                xs = x["items"]
+                place = F.array_position(F.transform(xs, lambda x: x["ours"]), True)
+                foreign = F.transform(F.filter(xs, lambda x: ~x["ours"]), lambda x: item_brand(x["item"]))
+                return F.struct(
+                    (x["cited"] | (place > 0) | F.exists(lines, named)).alias("mentioned"), x["cited"].alias("cited"), F.when(place > 0, place.cast("int")).alias("position"),
+                    F.filter(foreign, lambda b: (b != "") & (norm(b) != w["brand"])).alias("others"),
+                )
 
-        return let(items, result)
+            return let(F.struct(items.alias("items"), cited.alias("cited")), result)
 
-    return let(F.split(text, "\n"), judged)
+        return let(F.split(text, "\n"), judged)
+
+    return let(wanted, analysed)

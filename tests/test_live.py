@@ -118,3 +118,11 @@ def test_questions_by_full_ranking(spark):
         if ranked:
             want[i] = [q[0] for q in ranked[:4]]
     assert got == want
+
+
+def test_answers_are_spread_and_read_once(spark, sf_dir):
+    from plumbline.plans import live_plans
+
+    assert live_plans._analysed(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = live_plans.live_check_summary(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "regexp_extract" not in plan
