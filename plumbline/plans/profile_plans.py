@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import profiles as o
 from plumbline.plans import peer_plans
-from plumbline.storage import materialize, table
+from plumbline.storage import materialize, spread, table
 
 #: Attributes that lines speak of, three for each line number.
 ATTRIBUTES = (
@@ -55,9 +55,12 @@ def _profiles(spark, sf_dir: str) -> DataFrame:
 
 def _peers(spark, sf_dir: str) -> DataFrame:
     """(target_id, peer_id): the parts most often ordered along with a part; pairs are those within an order, so they grow as the lines do."""
-    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    rows = lines.count()
+    bought = spread(lines, "l_orderkey", rows=rows).distinct()
     pairs = bought.select("l_orderkey", F.col("l_partkey").alias("target_id")).join(bought.select("l_orderkey", F.col("l_partkey").alias("peer_id")), "l_orderkey")
-    counted = pairs.where("target_id <> peer_id").groupBy("target_id", "peer_id").agg(F.count("*").alias("times"))
+    # Pairs move once: a target's are counted and ranked where they meet. Most are unlike all others, so counting before would save nothing.
+    counted = spread(pairs.where("target_id <> peer_id").select("target_id", "peer_id"), "target_id", rows=rows).groupBy("target_id", "peer_id").agg(F.count("*").alias("times"))
     at = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("times"), "peer_id"))
     return counted.withColumn("at", at).where(F.col("at") <= PEERS).select("target_id", "peer_id")
 

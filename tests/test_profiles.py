@@ -135,3 +135,13 @@ def test_gaps_of_visibility_keep_the_sign_of_a_small_lead(spark, tmp_path):
     spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when((F.col("id") % n == 0) & (F.col("id") < n), 0).otherwise(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
     spark.range(2 * n).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
     assert [str(r.gap) for r in profile_plans._gaps_of_visibility(spark, str(tmp_path)).collect()] == ["-0.0"]
+
+
+def test_peers_move_once_and_parts_grow_with_the_lines(spark, sf_dir, monkeypatch):
+    from plumbline import storage
+    from plumbline.plans import profile_plans
+
+    plain = sorted(map(tuple, profile_plans._peers(spark, sf_dir).collect()))
+    monkeypatch.setattr(storage, "ROWS_A_PART", 500)
+    found = profile_plans._peers(spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= 12 and sorted(map(tuple, found.collect())) == plain
