@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import dataset, monitor, peers, prices
+from plumbline.operators import dataset, monitor, peers, prices, retrieval
 from plumbline.plans import dataset_plans
 from plumbline.plans.catalog import QUERIES
 from plumbline.storage import table
@@ -148,3 +148,22 @@ def test_eligible_counts_equal_pairs(spark):
     steps = [("strict", items.selectExpr("id target_id", "cast(id % 3 as long) n")), ("loose", items.selectExpr("id target_id", "cast(if(id = 3, 0, id) as long) n"))]
     chosen = {r.target_id: (r.step, r.n) for r in peers.widened(steps, 2).collect()}
     assert (chosen[1], chosen[2], chosen[3 + 1], chosen[9]) == (("loose", 1), ("strict", 2), ("loose", 4), ("loose", 9)) and 3 not in chosen and 0 not in chosen
+
+
+def test_token_cosine_in_chunks(spark, monkeypatch):
+    """Every pair of every two chunks once, terms beyond the matrices, keys in two blocks, rows without a key, block or term."""
+    monkeypatch.setattr(retrieval, "CHUNK_TEXTS", 7)
+    monkeypatch.setattr(retrieval, "DENSE_TERMS", 3)
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], " ".join(rng.choices("v w x y z".split(), (9, 5, 3, 1, 1), k=rng.randrange(1, 7)))) for i in range(40)]
+    rows += [(i, "ba"[i % 2], " ".join(rng.choices("v w x u".split(), k=3))) for i in range(12)]
+    frame = spark.createDataFrame([*rows, (None, "a", "v w"), (90, None, "v w"), (91, "a", ""), (92, "b", None)], "id long, block string, text string")
+    tokens = F.filter(F.split("text", " "), lambda w: w != "")
+    found = retrieval.token_cosine(frame, "id", "block", tokens, 0.7).collect()
+    counts = defaultdict(Counter)
+    for i, block, text in rows:
+        counts[i].update((block, w) for w in text.split())
+    norm = {i: sum(n * n for n in c.values()) ** 0.5 for i, c in counts.items()}
+    true = {(i, j): sum(n * counts[j][k] for k, n in counts[i].items()) / (norm[i] * norm[j]) for i in counts for j in counts if i < j}
+    assert {(r.a, r.b): r.cosine for r in found} == pytest.approx({k: v for k, v in true.items() if v >= 0.7}) and len(found) == len({(r.a, r.b) for r in found}) > 50
+    assert retrieval.token_cosine(frame.limit(0), "id", "block", tokens, 0.7).count() == 0
