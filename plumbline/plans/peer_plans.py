@@ -64,10 +64,8 @@ def similar_peers_weighted(spark, sf_dir: str) -> DataFrame:
             "thing": (0.10, p.equal_or_unknown(a("thing"), b("thing"))),
         }
 
-    pairs = p.similar_pairs(items(spark, sf_dir), [["p_brand"], ["p_type", "thing"]], parts, SIMILAR)
-    return p.top_peers(pairs.withColumns({"diff": F.lit(None).cast("double"), "tolerant_known": F.lit(True)})).select(
-        "target_id", "rank", "peer_id", "score"
-    )
+    # A pair of other types, brands or things lacks 0.10 of 0.75 at least.
+    return p.similar_top(items(spark, sf_dir), [["p_brand"], ["p_type", "thing"]], parts, SIMILAR, ["p_type", "p_brand", "thing"], 0.8667)
 
 
 def peer_frequency(spark, sf_dir: str) -> DataFrame:

@@ -167,3 +167,30 @@ def test_token_cosine_in_chunks(spark, monkeypatch):
     true = {(i, j): sum(n * counts[j][k] for k, n in counts[i].items()) / (norm[i] * norm[j]) for i in counts for j in counts if i < j}
     assert {(r.a, r.b): r.cosine for r in found} == pytest.approx({k: v for k, v in true.items() if v >= 0.7}) and len(found) == len({(r.a, r.b) for r in found}) > 50
     assert retrieval.token_cosine(frame.limit(0), "id", "block", tokens, 0.7).count() == 0
+
+
+def test_similar_top_equals_pairs(spark, monkeypatch):
+    """Done by the first items or by whole groups, targets and items that lack a close column, and few pairs where copies abound."""
+    rng = random.Random(4)
+    pick = lambda xs: rng.choice(xs)
+    rows = [(i, pick("pq"), pick("bc"), pick("xyz"), pick(("red", "blue", None)), rng.choice((90.0, 91.0, 95.0, 140.0)), pick(("USD", "USD", None))) for i in range(300)]
+    rows += [(300 + i, *(pick((v, v, None)) for v in ("p", "b", "x")), "red", 90.0, "USD") for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, p_type string, p_brand string, thing string, colour string, price double, currency string")
+    generators, close = [["p_brand"], ["p_type", "thing"]], ["p_type", "p_brand", "thing"]
+
+    def parts(a, b):
+        same = peers.comparable(a("price"), b("price"), a("currency"), b("currency"))
+        equal = {c: (w, peers.equal_or_unknown(a(c), b(c))) for c, w in (("p_type", 0.15), ("p_brand", 0.25), ("colour", 0.10), ("thing", 0.10))}
+        return equal | {"price": (0.15, F.when(same, peers.band_score(a("price"), b("price"), 0.02)))}
+
+    best = defaultdict(list)
+    for r in peers.similar_pairs(frame, generators, parts, 0.6).collect():
+        best[r.target_id].append((-r.score, r.peer_id))
+    true = {(t, i + 1, peer, -less) for t, xs in best.items() for i, (less, peer) in enumerate(sorted(xs)[:10])}
+    asked = []
+    whole = peers.similar_pairs
+    monkeypatch.setattr(peers, "similar_pairs", lambda targets, *a: asked.append(targets.count()) or whole(targets, *a))
+    for first in (5, 25, 200):
+        found = peers.similar_top(frame, generators, parts, 0.6, close, 0.8667, first=first)
+        assert {tuple(r) for r in found.collect()} == true and found.count() == len(true)
+    assert asked[0] == 360 and asked[4] < asked[2] < 360
