@@ -6,7 +6,7 @@ import corpus_pipeline as p
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_lexicon, quality_fm
+from plumbline.llm import bpe_lexicon, quality_fm, secrets_rf
 from plumbline.storage import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, row int, kept_text string"
@@ -76,6 +76,15 @@ def test_secrets_by_row(spark, sf_dir):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
 
 
+def test_secrets_train_once_a_session(spark, sf_dir, monkeypatch):
+    """Repeated stages leave no further plans of the made findings in the driver, and find the same."""
+    trained, train = [], secrets_rf.train
+    monkeypatch.setattr(secrets_rf, "_made", {})
+    monkeypatch.setattr(secrets_rf, "train", lambda labelled: trained.append(1) or train(labelled))
+    first, again = (sorted(map(str, p.secrets(spark, awkward(spark), sf_dir).collect())) for _ in range(2))
+    assert first == again and len(trained) == 1
+
+
 def test_tokens_of_every_row(spark, sf_dir):
     docs = awkward(spark)
     rows = sorted(map(str, p.tokens(spark, docs, sf_dir).collect()))
