@@ -297,6 +297,22 @@ def test_rare_sequences_go_when_models_are_bounded(spark, fixture_texts):
         assert len(kept) <= bound and sorted(kept, reverse=True) == n[: len(kept)] and (len(kept) == len(n) or n[len(kept)] not in kept)
 
 
+def test_models_in_blocks_predict_as_whole_ones_do(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(language_kn, "CALIBRATION_MIN", 10)
+    docs = table(spark, sf_dir, "documents").limit(100).union(spark.createDataFrame([(1000 + i, x, "xx" if i < 4 else "yy", "s", 1) for i, x in enumerate(["漢字 ж", "", None, "qzv qzv", "!"])], table(spark, sf_dir, "documents").schema))
+    whole = language_kn.fit(docs)
+    expected = {(r.doc_id): r for r in language_kn.predict(docs, whole).collect()}
+    for bounds in ((1500, 500), (10**6, 2)):
+        model = language_kn.fit(docs, *bounds)
+        assert isinstance(model, language_kn.BlockedModel) and sum(model.parts.values()) > 2
+        assert model.languages == whole.languages and model.sharpness == pytest.approx(whole.sharpness)
+        found = language_kn.predict(docs, model).collect()
+        assert len(found) == len(expected)
+        for r in found:
+            e = expected[r.doc_id]
+            assert (r.lang_pred, r.rejected, r.n) == (e.lang_pred, e.rejected, e.n) and r.score == pytest.approx(e.score, abs=1e-6) and r.bits == pytest.approx(e.bits, abs=1e-9)
+
+
 def test_languages_of_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = language_kn.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
