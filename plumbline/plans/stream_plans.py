@@ -18,7 +18,7 @@ def _stream(spark, sf_dir: str) -> DataFrame:
 def stream_change_events(spark, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int") % 3
     rows = _stream(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", F.floor(F.col("value") / 50).cast("long").alias("level"), k.alias("k"))
-    return c.run_once(c.change_stream(rows), "changes")
+    return c.change_events_once(rows, "changes")
 
 
 def stream_windowed_counts(spark, sf_dir: str) -> DataFrame:

@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.storage import scratch_path
 
-CHANGES = "user_id long, event_type string, event_id long, field string, before string, after string"
-LAST = "level long, k int, us long, event_id long"
+KEY = ["user_id", "event_type"]
+FIELDS = ["level", "k"]
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Compare each snapshot of a key with the last one seen, in event order within a batch."""
-    rows = pd.concat(list(frames)).sort_values(["us", "event_id"], ignore_index=True)
-    last = state.get if state.exists else None
-    out = []
-    for row in rows.itertuples(index=False):
-        now = (row.level, row.k)
-        if last is not None:
-            for field, before, after in zip(("level", "k"), last[:2], now, strict=True):
-                if before != after:
-                    out.append((*key, row.event_id, field, str(before), str(after)))
-        last = (*map(int, now), int(row.us), int(row.event_id))
-    state.update(last)
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in CHANGES.split(", ")])
+def _compared(rows: DataFrame) -> DataFrame:
+    """Change events of snapshots (user_id, event_type, event_id, us, level, k, seen), each against the one before it."""
+    window = Window.partitionBy(*KEY).orderBy(F.col("seen").desc(), "us", "event_id")
+    at = rows.withColumns({f"last_{f}": F.lag(f).over(window) for f in FIELDS} | {"first": F.row_number().over(window) == 1})
+    as_text = [F.struct(F.lit(f).alias("field"), F.col(f"last_{f}").cast("string").alias("before"), F.col(f).cast("string").alias("after")) for f in FIELDS]
+    out = at.where("not first").select(*KEY, "event_id", F.explode(F.array(*as_text)).alias("x")).select(*KEY, "event_id", "x.*")
+    return out.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def change_stream(events: DataFrame) -> DataFrame:
-    """Change events of a stream of (event_id, ts, user_id, event_type, level, k).
+def change_events_once(events: DataFrame, label: str) -> DataFrame:
+    """Change events of all that a stream of (event_id, ts, user_id, event_type, level, k) has, as a table in the shared folder.
 
-    State is one snapshot a key. A first snapshot makes no event; rows that arrive in a later batch than newer ones
-    are compared with what was last seen.
+    A batch is compared as a whole, by windows over its rows and one snapshot a key, the last that was seen. A first snapshot makes no event;
+    rows that arrive in a later batch than newer ones are compared with what was last seen. Each batch writes folders of its own number,
+    so that a batch that is run again replaces what it wrote.
     """
-    timed = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    return timed.groupBy("user_id", "event_type").applyInPandasWithState(
-        _changes, CHANGES, LAST, "append", GroupStateTimeout.NoTimeout
-    )
+    spark: SparkSession = events.sparkSession
+    out, last, checkpoint = (scratch_path(spark, f"{label}{x}") for x in ("", "-last", "-checkpoint"))
+    order = F.struct("us", "event_id")
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*KEY, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *FIELDS, F.lit(False).alias("seen"))
+        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct("event_id", "us", *FIELDS), order).alias("x")).select(*KEY, "x.*", F.lit(True).alias("seen"))
+        if number:
+            known = spark.read.schema(newest.schema).parquet(f"{last}/{number - 1}")
+            rows = rows.unionByName(known)
+            newest = newest.unionByName(known.join(newest.select(*KEY), KEY, "left_anti").select(*newest.columns))
+        _compared(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        newest.write.mode("overwrite").parquet(f"{last}/{number}")
+
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = f"user_id {events.schema['user_id'].dataType.simpleString()}, event_type string, event_id long, field string, before string, after string"
+    return spark.read.schema(f"{schema}, batch int").parquet(out).drop("batch")
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:

@@ -194,3 +194,23 @@ def test_similar_top_equals_pairs(spark, monkeypatch):
         found = peers.similar_top(frame, generators, parts, 0.6, close, 0.8667, first=first)
         assert {tuple(r) for r in found.collect()} == true and found.count() == len(true)
     assert asked[0] == 360 and asked[4] < asked[2] < 360
+
+
+def test_stream_change_events_in_several_batches(spark, tmp_path):
+    """A later batch meets the last snapshot of each key, nulls and late rows included."""
+    from plumbline.streaming import changes
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, level long, k int"
+    batches = [
+        [(1, 10, 1, "a", 1, 1), (2, 20, 1, "a", 2, 1), (3, 5, 2, "a", 7, None), (4, 6, 2, "a", 7, 2)],
+        [(5, 15, 1, "a", 2, 3), (6, 30, 3, "b", 1, 1)],
+        [(7, 40, 2, "a", 7, 2), (8, 1, 1, "a", 9, 3), (9, 2, 1, "a", 9, 3), (10, 50, 3, "b", 1, 2)],
+    ]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(e, t, u, x, lv, k) for e, t, u, x, lv, k in rows], "event_id long, t long, user_id long, event_type string, level long, k int")
+        frame.coalesce(1).selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "level", "k").write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in" / "b=*"))
+    got = sorted((r.event_id, r.user_id, r.event_type, r.field, r.before, r.after) for r in changes.change_events_once(stream, "changes").collect())
+    assert got == [
+        (2, 1, "a", "level", "1", "2"), (4, 2, "a", "k", None, "2"), (5, 1, "a", "k", "1", "3"), (8, 1, "a", "level", "2", "9"), (10, 3, "b", "k", "1", "2"),
+    ]
