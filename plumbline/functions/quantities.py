@@ -27,11 +27,12 @@ def _written_unit() -> str:
     return "|".join(re.sub(r"([$])", r"\\\1", u) for u in longest_first)
 
 
-QUANTITY = rf"(?i)(?:({_written_unit()})\s?)?(\d+(?:[.,]\d+)*)(?:\s?({_written_unit()})(?![A-Za-z]))?"
+#: A quantity begins with a digit or the first letter of a unit; other places are passed over at once.
+QUANTITY = rf"(?i)(?=[\d{''.join(sorted({u[0] for u in UNITS}))}])(?:({_written_unit()})\s?)?(\d+(?:[.,]\d+)*)(?:\s?({_written_unit()})(?![A-Za-z]))?"
 
 
 def _unit(written: Column) -> Column:
-    return F.coalesce(*(F.when(F.lower(written) == w, F.lit(u)) for w, u in UNITS.items()))
+    return F.when(written != "", F.try_element_at(F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair)), F.lower(written)))
 
 
 def _readings(number: Column) -> Column:
@@ -48,7 +49,8 @@ def stated(text: Column) -> Column:
     before, number, after = (F.regexp_extract_all(left, F.lit(QUANTITY), F.lit(i)) for i in (1, 2, 3))
     placed = F.arrays_zip(before.alias("b"), number.alias("n"), after.alias("a"))
     each = lambda x: F.transform(_readings(x["n"]), lambda v: F.struct(v.alias("value"), F.coalesce(_unit(x["a"]), _unit(x["b"])).alias("unit")))
-    return F.array_distinct(F.flatten(F.transform(placed, each))).cast(QUANTITIES)
+    found = F.array_distinct(F.flatten(F.transform(placed, each))).cast(QUANTITIES)
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\d"), found).otherwise(F.array().cast(QUANTITIES))
 
 
 def of_fields(names: list[str], currency: Column | None = None) -> Column:

@@ -30,7 +30,8 @@ def enforced(answers: DataFrame, records: DataFrame, key: str, text: str) -> Dat
     records by their citations, each citation a row; an answer is put together again from what stays.
     """
     cut = answers.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), SENTENCE_END)).alias("at", "said")).withColumn("said", F.trim("said"))
-    cut = cut.where((F.col("said") != "") & (F.regexp_replace("said", r"\.+$", "") != REFUSAL.rstrip(".")))
+    # Sentences that say nothing stay as rows without a body, so that each answer keeps a row.
+    cut = cut.withColumn("said", F.when((F.col("said") != "") & (F.regexp_replace("said", r"\.+$", "") != REFUSAL.rstrip(".")), F.col("said")))
     listed = F.flatten(F.transform(F.regexp_extract_all("said", F.lit(REFERENCE), F.lit(1)), lambda m: F.split(m, "[,;]")))
     refs = F.filter(F.transform(listed, lambda r: F.trim(r)), lambda r: r != "")
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("said", REFERENCE, ""), r"\s+", " "), r"\s+([.!?,;:])", "$1")
@@ -49,6 +50,5 @@ def enforced(answers: DataFrame, records: DataFrame, key: str, text: str) -> Dat
     cited = F.array_join(F.transform("refs", lambda r: F.concat(F.lit("["), r, F.lit("]"))), " ")
     rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("shown", F.concat(shown, F.lit(" "), cited))
     kept = F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("at", "shown", "refs"))))
-    out = rows.groupBy(key).agg(kept.alias("xs"), F.count_if(~F.col("ok")).alias("dropped"))
-    out = out.select(key, F.array_join("xs.shown", " ").alias("text"), F.array_distinct(F.flatten("xs.refs")).alias("cited"), F.size("xs").alias("kept"), "dropped")
-    return answers.select(key).join(out, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("cited", F.array().cast("array<string>")).alias("cited"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    out = rows.groupBy(key).agg(kept.alias("xs"), F.count_if(F.col("body").isNotNull() & ~F.col("ok")).alias("dropped"))
+    return out.select(key, F.array_join("xs.shown", " ").alias("text"), F.array_distinct(F.flatten("xs.refs")).alias("cited"), F.size("xs").alias("kept"), "dropped")
