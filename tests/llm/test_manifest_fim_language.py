@@ -313,6 +313,37 @@ def test_models_in_blocks_predict_as_whole_ones_do(spark, sf_dir, monkeypatch):
             assert (r.lang_pred, r.rejected, r.n) == (e.lang_pred, e.rejected, e.n) and r.score == pytest.approx(e.score, abs=1e-6) and r.bits == pytest.approx(e.bits, abs=1e-9)
 
 
+@pytest.mark.parametrize("bounds", [(), (20, 500)])
+def test_texts_left_out_for_calibration_are_counted_in_the_end(spark, monkeypatch, bounds):
+    monkeypatch.setattr(language_kn, "CALIBRATION_MIN", 10)
+    texts = [f"{chr(0x4E00 + i)}{chr(0x5000 + i)} word" for i in range(160)]  # each has sequences that no other has
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_kn.fit(docs, *bounds)
+    expected = PlainModel(texts, 1).counts[4]
+    found = model.addends.where("kind = 'p4'").count() if bounds else len(model.arrays[0, "p4"][0])
+    assert found == len(expected) and model.usual.keys() == {0}
+
+
+def test_all_texts_left_out_calibrate(spark):
+    rng = np.random.default_rng(5)
+    truth, n = rng.integers(0, 2, 9000), rng.integers(1, 300, 9000)
+    bits = 3 + 0.1 * rng.standard_normal((9000, 2))
+    bits[np.arange(9000), truth] -= 0.1
+    bits[:40] += 4
+    rows = spark.createDataFrame([(int(t), int(m), b.tolist()) for t, m, b in zip(truth, n, bits, strict=True)], "truth int, n long, all_bits array<double>").repartition(7)
+    sharpness, usual = language_kn.calibration(rows)
+    assert sharpness == language_kn.calibrated(language_kn.Model(["a", "b"], {}), truth, n, bits).sharpness
+    scaled = []
+    for lang in (0, 1):
+        own = (bits.argmin(axis=1) == truth) & (truth == lang)
+        x, m = bits[own, lang], n[own]
+        mean = np.average(x, weights=m)
+        spread = np.sqrt(np.mean((x - mean) ** 2 * m))
+        scaled.append((x - mean) * np.sqrt(m) / spread)
+        assert usual[lang][:2] == pytest.approx((mean, spread), rel=1e-9)
+    assert usual[0][2] == usual[1][2] == pytest.approx(np.quantile(np.maximum(np.concatenate(scaled), language_kn.LEAST_CUT), 1 - language_kn.REJECTED_SHARE))
+
+
 def test_languages_of_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = language_kn.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
