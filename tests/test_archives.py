@@ -128,3 +128,14 @@ def test_pages_of_one_address_and_fragment_stay_apart(spark, tmp_path):
     rows = [(1, "https://a.example/x#top", "<p>1"), (2, "https://a.example/x#top", "<p>2"), (3, "https://a.example/x?y=1#top", "<p>3"), (4, "https://a.example/x", "<p>4")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r.page_id for r in QUERIES["archived_pages"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
+def test_lines_of_hinted_pages_are_not_shuffled(spark, tmp_path, monkeypatch):
+    lines = [f'_:n{i} <http://schema.org/Name> "{"a ring" if i % 5 == 0 else "stringy"}" <http://x/{i}> .' for i in range(40)] + [f'_:n{i} <http://schema.org/x> "v" <http://x/{i}> .' for i in range(40)]
+    spark.createDataFrame([(x,) for x in [*lines, "none"]], "value string").repartition(3).write.option("compression", "gzip").text(str(tmp_path / "parts"))
+    expected = sorted((f"_:n{i}", f"http://x/{i}") for i in range(0, 40, 5) for _ in range(2))
+    for most, shuffled in ((a.MOST_SENT, False), (7, True)):
+        monkeypatch.setattr(a, "MOST_SENT", most)
+        found = a.hinted_statements(spark, str(tmp_path / "parts"), r'Name> "[^"]*\bring\b')
+        assert ("SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()) is shuffled
+        assert sorted((r.subject, r.graph) for r in found.collect()) == expected
