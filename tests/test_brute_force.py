@@ -167,6 +167,9 @@ def test_token_cosine_in_chunks(spark, monkeypatch):
     true = {(i, j): sum(n * counts[j][k] for k, n in counts[i].items()) / (norm[i] * norm[j]) for i in counts for j in counts if i < j}
     assert {(r.a, r.b): r.cosine for r in found} == pytest.approx({k: v for k, v in true.items() if v >= 0.7}) and len(found) == len({(r.a, r.b) for r in found}) > 50
     assert retrieval.token_cosine(frame.limit(0), "id", "block", tokens, 0.7).count() == 0
+    # Pairs of chunks held both chunks' texts in their rows, all of a block's in one task.
+    plan = retrieval.token_cosine(frame, "id", "block", tokens, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "file" in plan and "rows" not in plan.replace("Rows", "") and "one#" not in plan
 
 
 def test_similar_top_equals_pairs(spark, monkeypatch):
